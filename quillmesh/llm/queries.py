@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, decontaminate, line_dedup, simhash
-from quillmesh.llm.common import read_table
+from quillmesh.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, toxicity
+from quillmesh.llm.common import crc_mod, read_table
 
 
 def tokenizer_file() -> tuple[str, str]:
@@ -23,10 +23,30 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = langid.fit(docs.where(~held_out))
+    found = langid.predict(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = toxicity.fit(docs, labels.where(~held_out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("sentences").alias("n_offending"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs, host_col="source")
@@ -38,7 +58,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op5_simhash, op8_line_dedup, op9_byte_bpe)
+    f.__name__: f for f in (
+        op1_decontamination,
+        op4_language_id,
+        op5_simhash,
+        op6_toxicity,
+        op7_quality,
+        op8_line_dedup,
+        op9_byte_bpe,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
