@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, toxicity
+from quillmesh.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, suffix_dedup, toxicity
 from quillmesh.llm.common import crc_mod, read_table
 
 
@@ -57,6 +57,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), path, pattern, digest=True)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality,
         op8_line_dedup,
         op9_byte_bpe,
+        op10_suffix_dedup,
     )
 }
 
