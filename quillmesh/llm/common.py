@@ -40,3 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
 def crc_mod(id_col: str, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: of '')."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def attach_by_key(rows: DataFrame, key: str, table: DataFrame, size: int, broadcast_bytes: int, salts: int = 64) -> DataFrame:
+    """``rows`` left-joined with ``table`` (unique, not null ``key``). A table of up to
+    ``broadcast_bytes`` (``size`` is its measured size) is broadcast; a larger one is
+    repeated per salt so that a hot key's rows are dealt over ``salts`` tasks."""
+    named = table.withColumnRenamed(key, "_key")
+    if size <= broadcast_bytes:
+        return rows.join(F.broadcast(named), rows[key] == F.col("_key"), "left").drop("_key")
+    spread = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("_deal", F.floor(F.rand(17) * salts).cast("int"))
+    same = (F.col(key) == F.col("_key")) & (F.col("_deal") == F.col("_salt"))
+    return dealt.join(spread, same, "left").drop("_key", "_salt", "_deal")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, suffix_dedup, toxicity
+from quillmesh.llm import bpe, decontaminate, html_extract, langid, line_dedup, quality, simhash, suffix_dedup, toxicity, url_filter
 from quillmesh.llm.common import crc_mod, read_table
 
 
@@ -23,6 +23,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels: a page's URL names the document it shows by its number; a page is
+    bad if that document is labelled toxic or of low quality."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = read_table(spark, sf_dir, "labels")
+    number = F.regexp_extract("url", r"^[^?#]*/(\d{1,18})", 1)
+    shown = pages.select("url", F.when(number != "", number).cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    marked = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    rules = url_filter.mine_rules(shown.join(marked, "doc_id"))
+    return url_filter.judge_urls(pages, rules)
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 5) == 0
@@ -64,6 +81,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination,
+        op2_url_filter,
+        op3_html_extraction,
         op4_language_id,
         op5_simhash,
         op6_toxicity,
