@@ -19,8 +19,11 @@ windows between them that this leaves open:
    that come from two places are repeated.
 3. If two neighbours in S are both repeated, all bytes from the one to the end of
    the other are covered. Windows whose anchor occurs twice, but not always between
-   the same neighbours, are decided by 126-bit fingerprints, exchanged like those
-   of step 1.
+   the same neighbours, are open. The windows of one anchor overlap, so they travel
+   as one string, by anchor, and are compared where the anchor's strings meet (by
+   126-bit fingerprints). For anchors that occur over ``hot`` times each window's
+   fingerprint is exchanged by itself, like the keys of step 1, so that no anchor
+   has to meet in one task.
 
 Scale: a block sends each key at most twice and each suffix once, so copies meet
 as one entry per block; ranges are cut at quantiles of a bounded sample (balance
@@ -114,38 +117,58 @@ class _Text:
         self.windows = max(0, self.n - length + 1)
         if not self.windows:
             return
-        sums = hasher.sums(self.bytes)
+        self.sums = sums = hasher.sums(self.bytes)
         grams = hasher.grams(sums, GRAM)
         self.owner = owners(grams, length - GRAM + 1)
-        anchors = np.unique(self.owner)
+        self.anchors = anchors = np.unique(self.owner)
         self.anchor_keys = (grams[anchors] & _LOW) | _A
         self.sample = np.unique(np.concatenate((anchors[anchors < self.windows], [0, self.windows - 1])))
         self.prints = hasher.grams(sums, length) & _LOW
         self.sample_keys = self.prints[self.sample] | _B
         self.owner_keys = (grams & _LOW) | _A
 
-    def open_windows(self, counts: _Counts) -> np.ndarray:
-        """Windows whose anchor occurs twice and that the sample can't settle.
+    def owned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows with one anchor: first, last, and a key of the bytes
+        that they cover together."""
+        first = np.concatenate(([0], np.flatnonzero(self.owner[1:] != self.owner[:-1]) + 1))
+        last = np.append(first[1:] - 1, self.windows - 1)
+        end = last + self.length
+        _, inverse = self.hasher._tables(_BASES[0], len(self.sums))
+        h = (self.sums[end] - self.sums[first]) * inverse[first] + (end - first).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return first, last, ((h ^ (h >> np.uint64(30))) & _LOW) | _W
+
+    def open_windows(self, counts: _Counts) -> tuple[np.ndarray, np.ndarray]:
+        """Which windows' anchors occur twice though the sample can't settle them,
+        and how often each window's anchor occurs.
 
         The sample settles a window if all strings like its anchor stand where
         its sample neighbours stand: the anchor lies within both neighbours'
         windows and occurs as often as they do, so every copy of the window is
         covered by repeated neighbours just as this one is."""
-        near, of_anchor = counts.of(self.sample_keys), counts.of(self.owner_keys)
+        near, of_anchor = counts.of(self.sample_keys), counts.of(self.owner_keys[self.anchors])
         at = np.arange(self.windows)
-        owned = of_anchor[self.owner]
+        owned = of_anchor[np.searchsorted(self.anchors, self.owner)]
         left = np.searchsorted(self.sample, at, "right") - 1
         right = np.where(self.sample[left] == at, left, np.minimum(left + 1, len(self.sample) - 1))
         reach = self.length - GRAM
         inside = (self.owner <= self.sample[left] + reach) & (self.owner >= self.sample[right])
         settled = inside & (near[left] == owned) & (near[right] == owned)
-        return np.flatnonzero((owned > 1) & ~settled)
+        return (owned > 1) & ~settled, owned
 
     def second_print(self, at: np.ndarray) -> np.ndarray:
         base = _BASES[1]
         return self.hasher.grams(self.hasher.sums(self.bytes, base), self.length, base)[at]
 
 
+def _among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each value its place in an ordered array, or -1."""
+    if not len(ordered):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return np.where(ordered[at] == values, at, -1)
+
+
 class _Counts:
     """How often each key of a block occurs over all blocks (0: once)."""
 
@@ -154,10 +177,8 @@ class _Counts:
         self.totals = totals[first]
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.totals[at], 0)
+        at = _among(self.keys, keys)
+        return np.where(at >= 0, self.totals[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
 
 
 # ---- blocks of texts -------------------------------------------------------
@@ -338,15 +359,16 @@ def _decode_block(blobs: pa.Table, keys: pa.Table) -> list[tuple]:
     return rows
 
 
-def _runs_and_windows(length: int, cuts: list[bytes]):
+def _runs_and_windows(length: int, cuts: list[bytes], hot: int):
     """From a block and its keys that occur twice: front-coded runs of its suffixes
-    (range, run) and its open windows (key, second, n)."""
+    (range, run), strings of open windows by anchor (range null, run, key of the
+    anchor, second: of the string, n) and windows of hot anchors (key, second, n)."""
 
     def run(key, blobs: pa.Table, keys: pa.Table) -> pa.Table:
         rows = _decode_block(blobs, keys)
         block = key[0].as_py()
         counts = _Counts(keys.column("key").to_numpy().view(np.uint64), keys.column("total").to_numpy())
-        hasher, strings, windows, seconds = _Hasher(), {}, [], []
+        hasher, strings, joint, windows, seconds = _Hasher(), {}, {}, [], []
         for _, data in rows if keys.num_rows else ():
             text = _Text(hasher, data, length)
             if not text.windows:
@@ -354,10 +376,18 @@ def _runs_and_windows(length: int, cuts: list[bytes]):
             for at in text.sample[counts.of(text.sample_keys) > 1].tolist():
                 suffix = data[at : at + length]
                 strings[suffix] = strings.get(suffix, 0) + 1
-            at = text.open_windows(counts)
+            is_open, owned = text.open_windows(counts)
+            at = np.flatnonzero(is_open & (owned > hot))
             if len(at):
                 windows.append(text.prints[at] | _W)
                 seconds.append(text.second_print(at))
+            first, last, covered = text.owned()
+            any_open = np.add.reduceat(is_open, first) > 0
+            for i in np.flatnonzero(any_open & (owned[first] <= hot)).tolist():
+                named = int(covered[i])
+                anchor = int(text.owner_keys[text.owner[first[i]]])
+                before = joint.get(named)
+                joint[named] = (anchor, data[first[i] : last[i] + length], before[2] + 1 if before else 1)
         ranges: dict[int, list[bytes]] = {}
         for suffix in sorted(strings):
             ranges.setdefault(bisect_right(cuts, suffix), []).append(suffix)
@@ -367,22 +397,63 @@ def _runs_and_windows(length: int, cuts: list[bytes]):
         s = np.concatenate(seconds) if seconds else np.zeros(0, np.uint64)
         order = np.lexsort((s, k))
         k, s = k[order], s[order]
-        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))) if len(k) else np.zeros(0, np.int64)
-        n = np.diff(np.append(first, len(k)))
-        k, s = k[first], s[first]
-        none, m = pa.nulls(len(coded), pa.int64()), len(k)
+        start = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))) if len(k) else np.zeros(0, np.int64)
+        n = np.diff(np.append(start, len(k)))
+        k, s = k[start], s[start]
+        r, j, m = len(coded), len(joint), len(k)
+        anchors = np.array([x[0] for x in joint.values()], np.uint64).view(np.int64)
+        named = np.fromiter(joint, np.uint64, j).view(np.int64)
+
+        def column(*parts) -> pa.ChunkedArray:
+            kind = next(p.type for p in parts if not isinstance(p, int))
+            return pa.chunked_array([pa.nulls(p, kind) if isinstance(p, int) else p for p in parts])
+
+        return pa.table(
+            {
+                "block": pa.array(np.full(r + j + m, block, np.int64)),
+                "range": column(pa.array(list(ranges), pa.int64()), j, m),
+                "run": column(pa.array(coded + [x[1] for x in joint.values()], pa.binary()), m),
+                "key": column(r, pa.array(anchors), pa.array(k.view(np.int64))),
+                "second": column(r, pa.array(named), pa.array(s.view(np.int64))),
+                "n": column(r, pa.array([x[2] for x in joint.values()], pa.int64()), pa.array(n)),
+            }
+        )
+
+    return run
+
 
-        def column(head: pa.Array, tail: np.ndarray) -> pa.ChunkedArray:
-            return pa.chunked_array([head, pa.array(tail.view(np.int64))])
+def _meet_anchors(length: int):
+    """Of strings of open windows, dealt by anchor: (block, key, mask), the string's
+    key and which of its windows occur twice."""
 
+    def run(table: pa.Table) -> pa.Table:
+        hasher = _Hasher()
+        anchors = table.column("key").to_numpy()
+        strings = table.column("run").to_pylist()
+        weights = table.column("n").to_numpy()
+        prints, second, size = [], [], []
+        for string in strings:
+            data = np.frombuffer(string, np.uint8)
+            prints.append(hasher.grams(hasher.sums(data), length))
+            second.append(hasher.grams(hasher.sums(data, _BASES[1]), length, _BASES[1]))
+            size.append(len(data) - length + 1)
+        a, b = np.concatenate(prints), np.concatenate(second)
+        of = np.repeat(np.arange(len(strings)), size)
+        order = np.lexsort((b, a, anchors[of]))
+        x, y, z = a[order], b[order], anchors[of][order]
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])))
+        group = np.cumsum(new) - 1
+        total = np.bincount(group, weights[of][order])
+        twice = np.zeros(len(a), bool)
+        twice[order] = total[group] > 1
+        ends = np.cumsum(size)
+        masks = [np.packbits(twice[e - n : e]).tobytes() if twice[e - n : e].any() else None for e, n in zip(ends, size)]
+        keep = [i for i, m in enumerate(masks) if m is not None]
         return pa.table(
             {
-                "block": pa.array(np.full(len(coded) + m, block, np.int64)),
-                "range": pa.chunked_array([pa.array(list(ranges), pa.int64()), pa.nulls(m, pa.int64())]),
-                "run": pa.chunked_array([pa.array(coded, pa.binary()), pa.nulls(m, pa.binary())]),
-                "key": column(none, k),
-                "second": column(none, s),
-                "n": column(none, n),
+                "block": table.column("block").take(pa.array(keep, pa.int64())).combine_chunks(),
+                "key": table.column("second").take(pa.array(keep, pa.int64())).combine_chunks(),
+                "mask": pa.array([masks[i] for i in keep], pa.binary()),
             }
         )
 
@@ -404,11 +475,17 @@ def _merge_range(length: int):
     return run
 
 
-def _cover(text: _Text, known: np.ndarray) -> np.ndarray:
+def _cover(text: _Text, known: np.ndarray, joint: np.ndarray, masks: list[bytes]) -> np.ndarray:
     """Which bytes of a text are covered by repeated windows."""
-    both = np.isin(text.sample_keys, known)
-    start = np.isin(text.prints | _W, known)
+    both = _among(known, text.sample_keys) >= 0
+    start = _among(known, text.prints | _W) >= 0
     start[text.sample[both]] = True
+    if len(joint):
+        first, last, covered = text.owned()
+        found = _among(joint, covered)
+        for i in np.flatnonzero(found >= 0).tolist():
+            bits = np.unpackbits(np.frombuffer(masks[found[i]], np.uint8), count=int(last[i] - first[i]) + 1)
+            start[first[i] : last[i] + 1] |= bits.astype(bool)
     edge = np.zeros(text.n + 1, np.int32)
     at = np.flatnonzero(start)
     edge[at] += 1
@@ -422,13 +499,18 @@ def _cover(text: _Text, known: np.ndarray) -> np.ndarray:
 def _finish(length: int, digest: bool):
     def run(key, blobs: pa.Table, keys: pa.Table) -> pa.Table:
         rows = _decode_block(blobs, keys)
-        known = np.unique(keys.column("key").to_numpy()).view(np.uint64)
+        mask = keys.column("mask").combine_chunks()
+        key_values = keys.column("key").to_numpy().view(np.uint64)
+        plain = mask.is_null().to_numpy(zero_copy_only=False)
+        known = np.unique(key_values[plain])
+        joint, place = np.unique(key_values[~plain], return_index=True)
+        masks = mask.drop_null().take(pa.array(place, pa.int64())).to_pylist()
         hasher, out = _Hasher(), []
         for doc_id, data in rows:
             kept, n_spans = data, 0
-            if len(known) and len(data) >= length:
+            if keys.num_rows and len(data) >= length:
                 text = _Text(hasher, data, length)
-                gone = _cover(text, known)
+                gone = _cover(text, known, joint, masks)
                 if gone.any():
                     n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     kept = text.bytes[~gone].tobytes()
@@ -463,6 +545,7 @@ def remove_repeats(
     digest: bool = False,
     block_bytes: int = 8 << 20,
     range_bytes: int = 48 << 20,
+    hot: int = 50_000,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row; with
     ``digest`` kept_sha256 in place of kept."""
@@ -485,12 +568,17 @@ def remove_repeats(
     sent = cut(
         blocks.groupBy("block")
         .cogroup(twice.groupBy("block"))
-        .applyInArrow(_runs_and_windows(length, cuts), "block bigint, range bigint, run binary, key bigint, second bigint, n bigint")
+        .applyInArrow(_runs_and_windows(length, cuts, hot), "block bigint, range bigint, run binary, key bigint, second bigint, n bigint")
     )
-    sorted_runs = sent.where("run IS NOT NULL").select("block", "range", "run")
+    none = F.lit(None).cast("binary")
+    sorted_runs = sent.where("range IS NOT NULL").select("block", "range", "run")
     merged = sorted_runs.groupBy("range").applyInArrow(_merge_range(length), "block bigint, key bigint")
-    windows = _repeated(sent.where("key IS NOT NULL")).select("block", "key")
-    known = merged.union(windows)
+    joint = sent.where("range IS NULL AND run IS NOT NULL").select("block", "key", "second", "n", "run")
+    met = joint.groupBy(F.pmod(F.xxhash64("key"), F.lit(int(n_ranges))).alias("bucket")).applyInArrow(
+        _meet_anchors(length), "block bigint, key bigint, mask binary"
+    )
+    windows = _repeated(sent.where("run IS NULL"))
+    known = merged.select("block", "key", none.alias("mask")).union(windows.select("block", "key", none.alias("mask"))).union(met)
     made = "kept_sha256 string" if digest else "kept binary"
     return (
         blocks.groupBy("block")
