@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import os
-import struct
-from functools import lru_cache
+import re
 from typing import Protocol
 
 import numpy as np
 
 from quillmesh.errors import ModelError
-from quillmesh.functions.blake3 import blake3
+from quillmesh.functions.blake3 import blake3_words
 from quillmesh.schemas import DIM
 
-BATCH = 32
+BATCH = 32  # texts a call
 
 
 def document_prompt(title: str, text: str) -> str:
@@ -37,26 +36,27 @@ class Embedder(Protocol):
         """The vector of a search query."""
 
 
-@lru_cache(maxsize=100_000)
-def _place(token: str, dim: int) -> tuple[int, float]:
-    (h,) = struct.unpack("<Q", blake3(token.encode("utf-8"))[:8])
-    return h % dim, 1.0 if h >> 63 == 0 else -1.0
+def words(text: str) -> list[str]:
+    """Lower-cased alphanumeric runs."""
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
-def hashed_vector(text: str, dim: int = DIM) -> np.ndarray:
-    """Signed feature hashing of the text's alphanumeric runs, normalised; a text
-    without any gives zeros."""
-    vector = np.zeros(dim, np.float32)
-    word: list[str] = []
-    for c in f"{text.lower()} ":
-        if c.isalnum():
-            word.append(c)
-        elif word:
-            at, sign = _place("".join(word), dim)
-            vector[at] += sign
-            word.clear()
-    norm = float(np.linalg.norm(vector))
-    return vector / np.float32(norm) if norm else vector
+def hashed_vectors(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """Signed feature hashing of each text's alphanumeric runs, normalised; a text
+    without any gives zeros. All distinct words are hashed together."""
+    split = [words(t) for t in texts]
+    known = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+    hashes = blake3_words([w.encode("utf-8") for w in known])
+    place = (hashes % np.uint64(dim)).astype(np.int64)
+    sign = np.where(hashes >> np.uint64(63) == 0, 1.0, -1.0)
+    out = np.zeros((len(texts), dim), np.float32)
+    for row, ws in zip(out, split):
+        at = np.fromiter((known[w] for w in ws), np.int64, len(ws))
+        row += np.bincount(place[at], sign[at], minlength=dim).astype(np.float32)
+        norm = np.linalg.norm(row)
+        if norm:
+            row /= norm
+    return out
 
 
 class HashEmbedder:
@@ -65,10 +65,10 @@ class HashEmbedder:
     model_id, dim = "hash-blake3-v1", DIM
 
     def embed_documents(self, pairs: list[tuple[str, str]]) -> np.ndarray:
-        return np.stack([hashed_vector(text, self.dim) for _, text in pairs]) if pairs else np.zeros((0, self.dim), np.float32)
+        return hashed_vectors([text for _, text in pairs], self.dim)
 
     def embed_query(self, query: str) -> np.ndarray:
-        return hashed_vector(query, self.dim)
+        return hashed_vectors([query], self.dim)[0]
 
 
 _REGISTRY: dict[str, type] = {"hash": HashEmbedder}

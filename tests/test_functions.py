@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from quillmesh.functions import chunker
-from quillmesh.functions.blake3 import blake3
+from quillmesh.functions.blake3 import blake3, blake3_words
 from quillmesh.functions.embedders import HashEmbedder, document_prompt, query_prompt
 from quillmesh.functions.notes_parser import parse_note
 from quillmesh.functions.text import find_wikilinks, snippet, split_frontmatter
@@ -104,6 +104,8 @@ def test_snippet():
 def test_blake3_known_values():
     assert blake3(b"").hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
     assert blake3(b"abc").hex() == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
+    inputs = [b"", b"abc", b"x" * 64, b"y" * 200]
+    assert [int(w).to_bytes(8, "little") for w in blake3_words(inputs)] == [blake3(x)[:8] for x in inputs]
     data = bytes(i % 251 for i in range(2048))
     assert blake3(data).hex().startswith("e776b6028c7cd22a4d0ba182a8bf62205d2ef576467e838ed6f2529b85fba24a")
 
