@@ -97,27 +97,27 @@ def _train(bags: list[tuple[int, np.ndarray, np.ndarray]], shares: dict[int, flo
     """bags: (label, features, sentence of each feature)."""
     labels = np.array([y for y, _, _ in bags], float)
     weight = np.where(labels == 1, shares[1], shares[0])
-    flat = np.concatenate([f for _, f, _ in bags])
-    doc = np.repeat(np.arange(len(bags)), [len(f) for _, f, _ in bags])
-    names, codes = np.unique(flat, return_inverse=True)
-    once = np.unique(codes.astype(np.int64) * len(bags) + doc)
-    in_docs, of_doc = once // len(bags), once % len(bags)
-    df = np.bincount(in_docs, minlength=len(names)).astype(float)
-    pos = np.bincount(in_docs, labels[of_doc], minlength=len(names))
-    n, p = len(bags), labels.sum()
-    expected = df * p / n
+    # document frequencies from each bag's distinct features, then only chosen ones
+    distinct = [np.unique(f) for _, f, _ in bags]
+    names, df = np.unique(np.concatenate(distinct), return_counts=True)
+    positive, in_positive = np.unique(np.concatenate([f for f, y in zip(distinct, labels) if y == 1]), return_counts=True)
+    del distinct
+    pos = np.zeros(len(names))
+    pos[np.searchsorted(names, positive)] = in_positive
+    expected = df * labels.mean()
     chi = (pos - expected) ** 2 / np.maximum(expected, 1e-9) + (pos - expected) ** 2 / np.maximum(df - expected, 1e-9)
     chosen = np.flatnonzero(df >= 3)
-    chosen = np.sort(chosen[np.argsort(-chi[chosen], kind="stable")[:max_features]])
-    to = np.full(len(names), -1)
-    to[chosen] = np.arange(len(chosen))
-    # sentences numbered over all bags
+    chosen = names[np.sort(chosen[np.argsort(-chi[chosen], kind="stable")[:max_features]])]
+    columns, rows = [], []
     base = np.cumsum([0] + [int(s.max()) + 1 if len(s) else 0 for _, _, s in bags])
-    sentence = np.concatenate([s + b for (_, _, s), b in zip(bags, base)])
+    for (_, f, s), first in zip(bags, base):
+        at = np.minimum(np.searchsorted(chosen, f), len(chosen) - 1) if len(chosen) else np.zeros(len(f), int)
+        use = chosen[at] == f if len(chosen) else np.zeros(len(f), bool)
+        columns.append(at[use].astype(np.int32))
+        rows.append((s[use] + first).astype(np.int32))
+    column, row = np.concatenate(columns), np.concatenate(rows)
     n_sentences = int(base[-1])
-    sentence_doc = np.repeat(np.arange(len(bags)), np.diff(base))
-    use = to[codes] >= 0
-    column, row = to[codes][use], sentence[use]
+    sentence_doc = np.repeat(np.arange(len(bags), dtype=np.int32), np.diff(base))
     w, bias = np.zeros(len(chosen)), -6.0
     grad_w, grad_b = np.full(len(chosen), 1e-6), 1e-6
     total = weight.sum()
@@ -132,7 +132,7 @@ def _train(bags: list[tuple[int, np.ndarray, np.ndarray]], shares: dict[int, flo
         grad_b += gb * gb
         w -= 0.5 * gw / np.sqrt(grad_w)
         bias -= 0.2 * gb / np.sqrt(grad_b)
-    return ToxicModel({int(names[c]): float(v) for c, v in zip(chosen, w) if abs(v) > 1e-3}, float(bias))
+    return ToxicModel({int(c): float(v) for c, v in zip(chosen, w) if abs(v) > 1e-3}, float(bias))
 
 
 def fit(
@@ -144,7 +144,7 @@ def fit(
     label_col: str = "toxic",
     max_train: int = 5000,
     max_features: int = 20_000,
-    rounds: int = 120,
+    rounds: int = 250,
 ) -> ToxicModel:
     """Learn from the rows of ``docs`` that ``labels`` marks 0 or 1 (both already
     limited to training rows)."""
@@ -178,7 +178,7 @@ def fit(
     rows = sample.mapInArrow(features, "y int, f binary, s binary").collect()
     bags = sorted(((r.y, bytes(r.f), bytes(r.s)) for r in rows if r.f), key=lambda x: (x[0], xxhash.xxh64_digest(x[1])))
     del rows
-    bags = [(y, np.frombuffer(f, "<u4"), np.frombuffer(s, "<u4").astype(np.int64)) for y, f, s in bags]
+    bags = [(y, np.frombuffer(f, "<u4"), np.frombuffer(s, "<u4").astype(np.int32)) for y, f, s in bags]
     have = {y: sum(b[0] == y for b in bags) for y in (0, 1)}
     if not have[0] or not have[1]:
         return ToxicModel()
