@@ -15,3 +15,16 @@ def remove_repeats(texts: list[str], length: int):
         spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
         out.append((len(d), sum(gone), spans, bytes(c for c, g in zip(d, gone) if not g)))
     return out
+
+
+def encode_ids(text):
+    """Token ids by the tiktoken library."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return coder.encode_ordinary(text or "")
