@@ -47,7 +47,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import cut
@@ -237,11 +237,10 @@ def _first_keys(length: int, block_bytes: int):
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """(block, key, total) of the keys that occur twice or more over all blocks.
-    A key has one row per block at most; both uses share one exchange."""
-    dealt = rows.select("key", "second", "block", "n").repartition("key", "second")
-    totals = dealt.groupBy("key", "second").agg(F.sum("n").alias("total")).where("total > 1")
-    return dealt.join(totals, ["key", "second"]).select("block", "key", "total")
+    """(block, key, total) of the keys that occur twice or more over all blocks. A
+    key has one row per block at most; one exchange and one sort."""
+    total = F.sum("n").over(Window.partitionBy("key", "second"))
+    return rows.select("key", "second", "block", "n").withColumn("total", total).where("total > 1").select("block", "key", "total")
 
 
 # ---- sorted runs and their merge -------------------------------------------
