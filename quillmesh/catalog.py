@@ -15,7 +15,7 @@ from quillmesh.operators import hybrid as hybrid_ops
 from quillmesh.operators import fulltext, vector
 from quillmesh.operators import notes as ops
 from quillmesh.plans.cypher import PropertyGraph
-from quillmesh.schemas import EDGES, EMBEDDINGS, NOTES
+from quillmesh.schemas import EDGES, EMBEDDINGS, FIELDS, NOTES, POSTINGS
 from quillmesh.sources.snapshots import TableStore, read_json, write_json
 
 
@@ -26,6 +26,7 @@ class Vault:
         self.spark, self.name, self.source, self.data = spark, name, source, data
         self.store = TableStore(spark, data)
         self.ontology_path = os.path.join(data, "ontology.json")
+        self.postings_path = os.path.join(data, "postings.json")
         self.embed_meta_path = os.path.join(data, "embeddings_meta.json")
 
     def require_indexed(self) -> None:
@@ -66,8 +67,18 @@ class Vault:
         self.require_indexed()
         return read_json(self.ontology_path) or {"types": {}, "edge_types": {}}
 
+    def has_postings(self) -> bool:
+        """Whether the stored inverted index is of the current notes."""
+        made = read_json(self.postings_path)
+        return bool(made) and made["notes"] == self.store.current().get("notes") and self.store.exists("postings")
+
+    def text_index(self) -> tuple[DataFrame, DataFrame] | None:
+        if not self.has_postings():
+            return None
+        return self.store.read("postings", POSTINGS), self.store.read("fields", FIELDS)
+
     def search(self, query: str, type_: str | None = None, limit: int = 10) -> DataFrame:
-        return fulltext.search(self.notes(), query, type_, limit)
+        return fulltext.search(self.notes(), query, type_, limit, self.text_index())
 
     def similar(self, query: str, type_: str | None = None, limit: int = 10, embedder: Embedder | None = None) -> DataFrame:
         self.require_indexed()

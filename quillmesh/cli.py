@@ -45,7 +45,7 @@ def build_parser() -> argparse.ArgumentParser:
     type_ = (["--type"], {"dest": "type_"})
     limit = (["--limit"], {"type": _positive, "default": 10})
     model = (["--embedder"], {})
-    command("index", full, (["--re-resolve"], {"action": "store_true"}))
+    command("index", full, (["--re-resolve"], {"action": "store_true"}), (["--postings"], {"action": "store_true"}))
     command("embed", full, model)
     command("search", (["text"], {}), type_, limit, (["--hybrid"], {"action": "store_true"}), model)
     command("similar", (["text"], {}), type_, limit, model)
@@ -88,7 +88,7 @@ def execute(args: argparse.Namespace, spark):
     chosen = getattr(args, "embedder", None)
     embedder = select_embedder(chosen) if chosen else None
     if args.command == "index":
-        return run_index(v, args.full, args.re_resolve).as_dict()
+        return run_index(v, args.full, args.re_resolve, args.postings).as_dict()
     if args.command == "embed":
         return run_embed(v, embedder, args.full).as_dict()
     if args.command == "search":

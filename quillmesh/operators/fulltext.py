@@ -108,12 +108,16 @@ def rank(notes: DataFrame, query: str) -> DataFrame:
     return joined.select("id", F.greatest(*scores).alias("score"))
 
 
-def search(notes: DataFrame, query: str, type_: str | None = None, limit: int = 10) -> DataFrame:
-    """id, path, type, title, score of the best notes."""
+def search(
+    notes: DataFrame, query: str, type_: str | None = None, limit: int = 10, index: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """id, path, type, title, score of the best notes; ``index``: stored postings and
+    field statistics of just these notes, so that the texts needn't be read."""
     if limit < 1:
         raise ValueError("limit must be positive")
     meta = notes.select("id", "path", "type", "title")
     if type_ is not None:
         meta = meta.where(F.col("type") == type_)
-    ranked = rank(notes, query).join(meta, "id")
+    scores = rank(notes, query) if index is None else rank_postings(*index, query_terms(query))
+    ranked = scores.join(meta, "id")
     return ranked.select("id", "path", "type", "title", "score").orderBy(F.desc("score"), "id").limit(limit)

@@ -56,11 +56,12 @@ def candidates(files: DataFrame, prior: DataFrame) -> DataFrame:
     return files.join(p, note_id(F.col("rel")) == F.col("_prior"), "left").where(~F.coalesce(same, F.lit(False))).select(*files.columns)
 
 
-def run_index(vault: Vault, full: bool = False, re_resolve: bool = False) -> IndexStats:
+def run_index(vault: Vault, full: bool = False, re_resolve: bool = False, postings: bool = False) -> IndexStats:
     """Bring the tables up to date with the folder; both become current at once.
 
     Links are resolved when their source changes; with ``re_resolve`` all links are
-    resolved against the new set of ids.
+    resolved against the new set of ids, with ``postings`` the inverted index is
+    stored too.
     """
     began, spark, store = time.time(), vault.spark, vault.store
     prior = store.read("notes", NOTES)
@@ -86,6 +87,8 @@ def run_index(vault: Vault, full: bool = False, re_resolve: bool = False) -> Ind
         if n.get("added") or n.get("updated") or n.get("touched") or n.get("removed") or re_resolve or not store.exists("notes"):
             store.commit({"notes": notes, "edges": edges.select(*EDGES.names)})
             save_ontology(vault)
+        if postings and not vault.has_postings():
+            save_postings(vault)
         total = ops.edge_totals(store.read("edges", EDGES)).first()
     finally:
         for df in (files, parsed, status):
@@ -110,6 +113,9 @@ def save_ontology(vault: Vault) -> None:
 
 
 def save_postings(vault: Vault) -> None:
-    """The inverted index and its field statistics as tables of the vault."""
-    notes = vault.notes()
-    vault.store.commit({"postings": fulltext.postings(notes).repartition("term").sortWithinPartitions("term"), "fields": fulltext.corpus_stats(notes)})
+    """Store the inverted index and its field statistics. They are used while the
+    notes snapshot that they were made from is the current one."""
+    snapshot, notes = vault.store.current()["notes"], vault.notes()
+    index = fulltext.postings(notes).repartition("term").sortWithinPartitions("term")  # row groups by term: reads are pruned
+    vault.store.commit({"postings": index, "fields": fulltext.corpus_stats(notes)})
+    write_json(vault.postings_path, {"notes": snapshot})

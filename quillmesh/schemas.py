@@ -23,5 +23,7 @@ EMBEDDINGS = _fields(
     ("vector", T.ArrayType(T.FloatType(), True), False), ("embedded_at_ms", _L, False),
 )
 FILES = _fields(("rel", _S, False), ("mtime_ms", _L, False), ("size_bytes", _L, False))
+POSTINGS = _fields(("field", _S, False), ("term", _S, False), ("id", _S, False), ("tf", _L, False), ("dl", _I, False))
+FIELDS = _fields(("field", _S, False), ("n", _L, False), ("avgdl", T.DoubleType(), True))
 RAW_EDGE = _fields(("edge_type", _S, False), ("to_raw", _S, False), ("to_alias", _S, True), ("position", _I, False))
 DIM = 768
