@@ -26,7 +26,8 @@ ENDINGS = tuple(".!?…:;。！？\"'”’»)]")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _SYMBOLS = re.compile(r"[#*$%&|<>]").findall
 _MARKS = re.compile(r"[!?#*$%&|<>=_~^{}\[\]\\/@+]").findall
-_SEPARATORS = re.compile(r"(?:^|\s)(?:[|»›>•·/]|::|->|=>)(?=\s|$)").findall
+_SEPARATORS = frozenset(("|", "»", "›", ">", "•", "·", "/", "::", "->", "=>"))
+_BLANKS = " \t\r\x0b\x0c"
 #: Phrases of pages about pages, lower-cased.
 _BOILERPLATE = re.compile(
     r"all rights reserved|privacy policy|cookie (?:policy|settings)|we use cookies|terms of (?:use|service)"
@@ -37,15 +38,15 @@ _BOILERPLATE = re.compile(
 
 def line_verdict(line: str, last: bool = False) -> str | None:
     """Why a line with words fails (punctuation, navigation, boilerplate), or null."""
-    words = line.split()
+    words = _WORDS(line)
     if _BOILERPLATE(line.lower()):
         return "boilerplate"
-    if len(_SEPARATORS(line)) * 4 >= len(words):
+    if sum(w in _SEPARATORS for w in words) * 4 >= len(words):
         return "navigation"
     marks = len(_MARKS(line))
     if marks >= 3 and marks * 2 > len(words):
         return "punctuation"
-    if not last and len(words) > 3 and not line.rstrip().endswith(ENDINGS):
+    if not last and len(words) > 3 and not words[-1].endswith(ENDINGS):
         return "punctuation"
     return None
 
@@ -84,8 +85,8 @@ def judge(text: str | None, max_lost: float = 0.5) -> dict:
     repeats = repeated_words(words)
     last = max((i for i, w in enumerate(with_words) if w), default=-1)
     failed = {i: v for i, w in enumerate(with_words) if w and (v := line_verdict(lines[i], i == last))}
-    total = sum(len(x.strip()) for x in lines)
-    lost = sum(len(lines[i].strip()) for i in failed)
+    total = sum(len(x.strip(_BLANKS)) for x in lines)
+    lost = sum(len(lines[i].strip(_BLANKS)) for i in failed)
     base_failed = len(words) < 50 or 100 * repeats > 50 * len(words)
     return {
         "n_words": len(words),
@@ -123,3 +124,30 @@ def quality(
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} {_KINDS[c]}" for c in names))
+
+
+#: The measures and verdict (max_lost 0.5) in DuckDB SQL, from documents.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (
+        SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1) GROUP BY rid),
+l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+m AS (SELECT rid, pos, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS v,
+        length(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS size FROM l),
+n AS (SELECT *, max(pos) OVER (PARTITION BY rid) AS last, len(regexp_extract_all(line, '[!?#*$%&|<>=_~^{{}}\\[\\]\\\\/@+]')) AS marks FROM m WHERE len(v) > 0),
+j AS (SELECT *, regexp_matches(lower(line), 'all rights reserved|privacy policy|cookie (policy|settings)|we use cookies|terms of (use|service)|lorem ipsum|enable javascript|javascript is (disabled|required)|subscribe to our|sign up for our|click here|share (this|on)|follow us|skip to (main )?content|back to top|©|\\(c\\) (19|20)[0-9][0-9]')
+        OR len(list_filter(v, lambda x: x IN ('|', '»', '›', '>', '•', '·', '/', '::', '->', '=>'))) * 4 >= len(v)
+        OR (marks >= 3 AND marks * 2 > len(v))
+        OR (pos <> last AND len(v) > 3 AND NOT contains('.!?…:;。！？"''”’»)]', right(v[-1], 1))) AS bad FROM n),
+s AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS n_lines_failed, coalesce(sum(size) FILTER (bad), 0) AS lost_chars FROM j GROUP BY rid),
+t AS (SELECT rid, sum(size) AS total FROM m GROUP BY rid),
+f AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_failed, 0) AS n_lines_failed,
+        coalesce(lost_chars, 0) AS lost_chars, total FROM d JOIN w USING (rid) JOIN t USING (rid) LEFT JOIN s USING (rid) LEFT JOIN r USING (rid))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * total AS kept,
+       n_lines_failed::BIGINT AS n_lines_failed, lost_chars::BIGINT AS lost_chars FROM f
+""".replace("{{", "{").replace("}}", "}")

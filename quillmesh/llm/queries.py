@@ -95,5 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE.format(docs="documents", items="benchmark"),
+    "op7_quality": quality.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE.format(docs="(SELECT doc_id, source, text FROM documents)"),
 }
