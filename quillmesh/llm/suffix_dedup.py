@@ -188,7 +188,7 @@ def _pack(rows: list[tuple]) -> tuple[int, bytes]:
     ids = b"".join(struct.pack("<?q", i is not None, i or 0) for i, _ in rows)
     sizes = struct.pack(f"<{len(rows)}q", *(len(t) for _, t in rows))
     body = struct.pack("<q", len(rows)) + ids + sizes + b"".join(t for _, t in rows)
-    return xxhash.xxh64_intdigest(body) - (1 << 63), zstandard.ZstdCompressor(level=1).compress(body)
+    return xxhash.xxh64_intdigest(body) - (1 << 63), zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def _unpack(blob: bytes) -> Iterator[tuple[int | None, bytes]]:
@@ -358,10 +358,10 @@ def _decode_block(blobs: pa.Table, keys: pa.Table) -> list[tuple]:
     return rows
 
 
-def _runs_and_windows(length: int, cuts: list[bytes], hot: int):
+def _runs_and_windows(length: int, cuts: list[bytes], hot: int, n_buckets: int):
     """From a block and its keys that occur twice: front-coded runs of its suffixes
-    (range, run), strings of open windows by anchor (range null, run, key of the
-    anchor, second: of the string, n) and windows of hot anchors (key, second, n)."""
+    (range, run), strings of open windows packed by buckets of anchors (range null,
+    run, key: the bucket) and windows of hot anchors (key, second, n)."""
 
     def run(key, blobs: pa.Table, keys: pa.Table) -> pa.Table:
         rows = _decode_block(blobs, keys)
@@ -390,7 +390,10 @@ def _runs_and_windows(length: int, cuts: list[bytes], hot: int):
         ranges: dict[int, list[bytes]] = {}
         for suffix in sorted(strings):
             ranges.setdefault(bisect_right(cuts, suffix), []).append(suffix)
-        packed = zstandard.ZstdCompressor(level=1)
+        buckets: dict[int, list[tuple[int, int, bytes, int]]] = {}
+        for named, (anchor, string, times) in joint.items():
+            buckets.setdefault((anchor >> 2) % n_buckets, []).append((anchor, named, string, times))
+        packed = zstandard.ZstdCompressor(level=3)
         coded = [packed.compress(front_code(x, [strings[s] for s in x])) for x in ranges.values()]
         k = np.concatenate(windows) if windows else np.zeros(0, np.uint64)
         s = np.concatenate(seconds) if seconds else np.zeros(0, np.uint64)
@@ -399,9 +402,7 @@ def _runs_and_windows(length: int, cuts: list[bytes], hot: int):
         start = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))) if len(k) else np.zeros(0, np.int64)
         n = np.diff(np.append(start, len(k)))
         k, s = k[start], s[start]
-        r, j, m = len(coded), len(joint), len(k)
-        anchors = np.array([x[0] for x in joint.values()], np.uint64).view(np.int64)
-        named = np.fromiter(joint, np.uint64, j).view(np.int64)
+        r, j, m = len(coded), len(buckets), len(k)
 
         def column(*parts) -> pa.ChunkedArray:
             kind = next(p.type for p in parts if not isinstance(p, int))
@@ -411,65 +412,104 @@ def _runs_and_windows(length: int, cuts: list[bytes], hot: int):
             {
                 "block": pa.array(np.full(r + j + m, block, np.int64)),
                 "range": column(pa.array(list(ranges), pa.int64()), j, m),
-                "run": column(pa.array(coded + [x[1] for x in joint.values()], pa.binary()), m),
-                "key": column(r, pa.array(anchors), pa.array(k.view(np.int64))),
-                "second": column(r, pa.array(named), pa.array(s.view(np.int64))),
-                "n": column(r, pa.array([x[2] for x in joint.values()], pa.int64()), pa.array(n)),
+                "run": column(pa.array(coded + [packed.compress(_pack_strings(x)) for x in buckets.values()], pa.binary()), m),
+                "key": column(r, pa.array(list(buckets), pa.int64()), pa.array(k.view(np.int64))),
+                "second": column(r + j, pa.array(s.view(np.int64))),
+                "n": column(r + j, pa.array(n)),
             }
         )
 
     return run
 
 
-def _meet_anchors(length: int):
-    """Of strings of open windows, dealt by anchor: (block, key, mask), the string's
-    key and which of its windows occur twice."""
+def _pack_strings(strings: list[tuple[int, int, bytes, int]]) -> bytes:
+    """(anchor, key, string, times) rows as columns of bytes."""
+    anchors, named, parts, times = zip(*strings)
+    columns = [np.array(anchors, "<u8"), np.array(named, "<u8"), np.array(times, "<u4"), np.array([len(p) for p in parts], "<u4")]
+    return struct.pack("<q", len(strings)) + b"".join(c.tobytes() for c in columns) + b"".join(parts)
+
+
+def _unpack_strings(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchors, keys, times, sizes, and all bytes one after the other."""
+    (n,) = struct.unpack_from("<q", body)
+    at, out = 8, []
+    for kind in ("<u8", "<u8", "<u4", "<u4"):
+        out.append(np.frombuffer(body, kind, n, at).astype(np.uint64 if kind == "<u8" else np.int64))
+        at += n * int(kind[-1])
+    return *out, np.frombuffer(body, np.uint8, len(body) - at, at)
+
+
+def _meet_anchors(length: int, slice_windows: int = 200_000):
+    """Of strings of open windows, in buckets of anchors: (block, key, mask), the
+    string's key and which of its windows occur twice. Anchors are taken in turn, in
+    slices of about ``slice_windows`` windows, an anchor's strings together."""
 
     def run(table: pa.Table) -> pa.Table:
-        hasher = _Hasher()
-        anchors = table.column("key").to_numpy()
-        strings = table.column("run").to_pylist()
-        weights = table.column("n").to_numpy()
-        prints, second, size = [], [], []
-        for string in strings:
-            data = np.frombuffer(string, np.uint8)
-            prints.append(hasher.grams(hasher.sums(data), length))
-            second.append(hasher.grams(hasher.sums(data, _BASES[1]), length, _BASES[1]))
-            size.append(len(data) - length + 1)
-        a, b = np.concatenate(prints), np.concatenate(second)
-        of = np.repeat(np.arange(len(strings)), size)
-        order = np.lexsort((b, a, anchors[of]))
-        x, y, z = a[order], b[order], anchors[of][order]
-        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])))
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, weights[of][order])
-        twice = np.zeros(len(a), bool)
-        twice[order] = total[group] > 1
-        ends = np.cumsum(size)
-        masks = [np.packbits(twice[e - n : e]).tobytes() if twice[e - n : e].any() else None for e, n in zip(ends, size)]
-        keep = [i for i, m in enumerate(masks) if m is not None]
-        return pa.table(
-            {
-                "block": table.column("block").take(pa.array(keep, pa.int64())).combine_chunks(),
-                "key": table.column("second").take(pa.array(keep, pa.int64())).combine_chunks(),
-                "mask": pa.array([masks[i] for i in keep], pa.binary()),
-            }
-        )
+        hasher, unpack = _Hasher(), zstandard.ZstdDecompressor()
+        parts = [_unpack_strings(unpack.decompress(x.as_py())) for x in table.column("run")]
+        anchors, named, times, sizes, data = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        blocks = np.repeat(table.column("block").to_numpy(), [len(p[0]) for p in parts])
+        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        del parts
+        order = np.argsort(anchors, kind="stable")
+        counts = sizes[order] - length + 1
+        done = np.cumsum(counts)
+        edges = np.flatnonzero(np.concatenate(([True], anchors[order][1:] != anchors[order][:-1])))
+        keep, masks, first = [], [], 0
+        for last in [*edges[1:].tolist(), len(order)]:
+            if last < len(order) and done[last - 1] - (done[first - 1] if first else 0) < slice_windows:
+                continue
+            mine = order[first:last]
+            a, b = [], []
+            for i in mine.tolist():
+                piece = data[starts[i] : starts[i] + sizes[i]]
+                a.append(hasher.grams(hasher.sums(piece), length))
+                b.append(hasher.grams(hasher.sums(piece, _BASES[1]), length, _BASES[1]))
+            a, b, n = np.concatenate(a), np.concatenate(b), counts[first:last]
+            of = np.repeat(np.arange(len(mine)), n)
+            z = anchors[mine][of]
+            by = np.lexsort((b, a, z))
+            x, y, z = a[by], b[by], z[by]
+            group = np.cumsum(np.concatenate(([False], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1]))))
+            total = np.bincount(group, times[mine][of][by])
+            twice = np.zeros(len(a), bool)
+            twice[by] = total[group] > 1
+            ends = np.cumsum(n)
+            for j in np.flatnonzero(np.add.reduceat(twice, ends - n)).tolist():
+                keep.append(int(mine[j]))
+                masks.append(np.packbits(twice[ends[j] - n[j] : ends[j]]).tobytes())
+            first = last
+        kept = np.array(keep, np.int64)
+        return pa.table({"block": pa.array(blocks[kept]), "key": pa.array(named[kept].view(np.int64)), "mask": pa.array(masks, pa.binary())})
 
     return run
 
 
 def _merge_range(length: int):
     def run(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
-        blocks = table.column("block").to_pylist()
-        hasher, found, where = _Hasher(), [], []
+        unpack, hasher = zstandard.ZstdDecompressor(), _Hasher()
+        blocks = table.column("block").to_numpy()
+        out_blocks, out_keys, held, where = [], [], [], []
+
+        def give() -> None:
+            flat = np.frombuffer(b"".join(held), np.uint8)
+            at = np.arange(len(held)) * length
+            keys = (hasher.grams(hasher.sums(flat), length)[at] & _LOW) | _B
+            out_keys.append(np.repeat(keys, [len(w) for w in where]))
+            out_blocks.append(blocks[np.fromiter((r for w in where for r in w), np.int64)])
+            held.clear()
+            where.clear()
+
         for string, runs in repeated_strings([unpack.decompress(x.as_py()) for x in table.column("run")]):
-            found.append(string)
+            held.append(string)
             where.append(runs)
-        keys = [int((hasher.grams(hasher.sums(np.frombuffer(s, np.uint8)), length)[0] & _LOW) | _B) for s in found]
-        pairs = [(blocks[r], k - (1 << 64) if k >> 63 else k) for k, runs in zip(keys, where) for r in runs]
-        return pa.table({"block": pa.array([b for b, _ in pairs], pa.int64()), "key": pa.array([k for _, k in pairs], pa.int64())})
+            if len(held) >= 2000:
+                give()
+        if held:
+            give()
+        b = np.concatenate(out_blocks) if out_blocks else np.zeros(0, np.int64)
+        k = np.concatenate(out_keys).view(np.int64) if out_keys else np.zeros(0, np.int64)
+        return pa.table({"block": pa.array(b), "key": pa.array(k)})
 
     return run
 
@@ -543,7 +583,7 @@ def remove_repeats(
     length: int = 200,
     digest: bool = False,
     block_bytes: int = 8 << 20,
-    range_bytes: int = 48 << 20,
+    range_bytes: int = 12 << 20,
     hot: int = 50_000,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row; with
@@ -567,15 +607,13 @@ def remove_repeats(
     sent = cut(
         blocks.groupBy("block")
         .cogroup(twice.groupBy("block"))
-        .applyInArrow(_runs_and_windows(length, cuts, hot), "block bigint, range bigint, run binary, key bigint, second bigint, n bigint")
+        .applyInArrow(_runs_and_windows(length, cuts, hot, int(n_ranges)), "block bigint, range bigint, run binary, key bigint, second bigint, n bigint")
     )
     none = F.lit(None).cast("binary")
     sorted_runs = sent.where("range IS NOT NULL").select("block", "range", "run")
     merged = sorted_runs.groupBy("range").applyInArrow(_merge_range(length), "block bigint, key bigint")
-    joint = sent.where("range IS NULL AND run IS NOT NULL").select("block", "key", "second", "n", "run")
-    met = joint.groupBy(F.pmod(F.xxhash64("key"), F.lit(int(n_ranges))).alias("bucket")).applyInArrow(
-        _meet_anchors(length), "block bigint, key bigint, mask binary"
-    )
+    joint = sent.where("range IS NULL AND run IS NOT NULL").select("block", F.col("key").alias("bucket"), "run")
+    met = joint.groupBy("bucket").applyInArrow(_meet_anchors(length), "block bigint, key bigint, mask binary")
     windows = _repeated(sent.where("run IS NULL"))
     known = merged.select("block", "key", none.alias("mask")).union(windows.select("block", "key", none.alias("mask"))).union(met)
     made = "kept_sha256 string" if digest else "kept binary"
