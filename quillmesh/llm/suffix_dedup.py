@@ -59,6 +59,13 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POSITION = np.uint64((1 << 24) - 1)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 class _Hasher:
     """Polynomial hashes of all k-byte strings of a text, modulo 2^64, mixed."""
 
@@ -85,11 +92,7 @@ class _Hasher:
 
     def grams(self, sums: np.ndarray, k: int, base: int = _BASES[0]) -> np.ndarray:
         _, inverse = self._tables(base, len(sums))
-        h = (sums[k:] - sums[:-k]) * inverse[: len(sums) - k]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        return h
+        return _mixed((sums[k:] - sums[:-k]) * inverse[: len(sums) - k])
 
 
 def owners(grams: np.ndarray, width: int) -> np.ndarray:
@@ -120,17 +123,22 @@ class _Text:
         self.sums = sums = hasher.sums(self.bytes)
         grams = hasher.grams(sums, GRAM)
         self.owner = owners(grams, length - GRAM + 1)
-        self.anchors = anchors = np.unique(self.owner)
+        self.first = np.concatenate(([0], np.flatnonzero(self.owner[1:] != self.owner[:-1]) + 1))  # owners never go back
+        self.anchors = anchors = self.owner[self.first]
         self.anchor_keys = (grams[anchors] & _LOW) | _A
         self.sample = np.unique(np.concatenate((anchors[anchors < self.windows], [0, self.windows - 1])))
-        self.prints = hasher.grams(sums, length) & _LOW
-        self.sample_keys = self.prints[self.sample] | _B
+        self.sample_keys = self.prints(self.sample) | _B
         self.owner_keys = (grams & _LOW) | _A
 
+    def prints(self, at: np.ndarray) -> np.ndarray:
+        """Fingerprints of the windows at these places."""
+        _, inverse = self.hasher._tables(_BASES[0], len(self.sums))
+        return _mixed((self.sums[at + self.length] - self.sums[at]) * inverse[at]) & _LOW
+
     def owned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows with one anchor: first, last, and a key of the bytes
         that they cover together."""
-        first = np.concatenate(([0], np.flatnonzero(self.owner[1:] != self.owner[:-1]) + 1))
+        first = self.first
         last = np.append(first[1:] - 1, self.windows - 1)
         end = last + self.length
         _, inverse = self.hasher._tables(_BASES[0], len(self.sums))
@@ -147,10 +155,10 @@ class _Text:
         windows and occurs as often as they do, so every copy of the window is
         covered by repeated neighbours just as this one is."""
         near, of_anchor = counts.of(self.sample_keys), counts.of(self.owner_keys[self.anchors])
-        at = np.arange(self.windows)
-        owned = of_anchor[np.searchsorted(self.anchors, self.owner)]
-        left = np.searchsorted(self.sample, at, "right") - 1
-        right = np.where(self.sample[left] == at, left, np.minimum(left + 1, len(self.sample) - 1))
+        owned = np.repeat(of_anchor, np.diff(np.append(self.first, self.windows)))
+        left = np.repeat(np.arange(len(self.sample)), np.diff(np.append(self.sample, self.windows)))
+        right = np.minimum(left + 1, len(self.sample) - 1)
+        right[self.sample] = left[self.sample]
         reach = self.length - GRAM
         inside = (self.owner <= self.sample[left] + reach) & (self.owner >= self.sample[right])
         settled = inside & (near[left] == owned) & (near[right] == owned)
@@ -378,7 +386,7 @@ def _runs_and_windows(length: int, cuts: list[bytes], hot: int, n_buckets: int):
             is_open, owned = text.open_windows(counts)
             at = np.flatnonzero(is_open & (owned > hot))
             if len(at):
-                windows.append(text.prints[at] | _W)
+                windows.append(text.prints(at) | _W)
                 seconds.append(text.second_print(at))
             first, last, covered = text.owned()
             any_open = np.add.reduceat(is_open, first) > 0
@@ -514,10 +522,13 @@ def _merge_range(length: int):
     return run
 
 
-def _cover(text: _Text, known: np.ndarray, joint: np.ndarray, masks: list[bytes]) -> np.ndarray:
-    """Which bytes of a text are covered by repeated windows."""
+def _cover(text: _Text, known: np.ndarray, single: np.ndarray, joint: np.ndarray, masks: list[bytes]) -> np.ndarray:
+    """Which bytes of a text are covered by repeated windows: ``known`` are keys of
+    the sample, ``single`` of windows of hot anchors."""
     both = _among(known, text.sample_keys) >= 0
-    start = _among(known, text.prints | _W) >= 0
+    start = np.zeros(text.windows, bool)
+    if len(single):
+        start = _among(single, text.prints(np.arange(text.windows)) | _W) >= 0
     start[text.sample[both]] = True
     if len(joint):
         first, last, covered = text.owned()
@@ -542,6 +553,8 @@ def _finish(length: int, digest: bool):
         key_values = keys.column("key").to_numpy().view(np.uint64)
         plain = mask.is_null().to_numpy(zero_copy_only=False)
         known = np.unique(key_values[plain])
+        hot_windows = (known & np.uint64(3)) == _W
+        known, single = known[~hot_windows], known[hot_windows]
         joint, place = np.unique(key_values[~plain], return_index=True)
         masks = mask.drop_null().take(pa.array(place, pa.int64())).to_pylist()
         hasher, out = _Hasher(), []
@@ -549,7 +562,7 @@ def _finish(length: int, digest: bool):
             kept, n_spans = data, 0
             if keys.num_rows and len(data) >= length:
                 text = _Text(hasher, data, length)
-                gone = _cover(text, known, joint, masks)
+                gone = _cover(text, known, single, joint, masks)
                 if gone.any():
                     n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     kept = text.bytes[~gone].tobytes()
