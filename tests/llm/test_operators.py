@@ -161,6 +161,40 @@ def test_html_extraction(spark):
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, html_extract.extract(df).collect()))
 
 
+PROSE = "Long prose of the article."
+
+
+@pytest.mark.parametrize(
+    "shown",
+    [
+        "<body class='single right-sidebar'><article><p>{}</p></article></body>",
+        "<body class='sidebar'><p>{}</p></body>",
+        "<html class='search'><body id='menu'><main class='widget'><p>{}</p></main></body></html>",
+        "<div id='page' class='has-sidebar'><p>{}</p></div>",
+        "<div id='page' class='sidebar'><nav>Menu</nav><article><p>{}</p></article></div>",
+        "<form id='search'><div class='overlay'><article><p>{}</p></article></div></form>",
+        "<article class='post comments-open'><p>{}</p></article>",
+        "<article class='promo'><p>{}</p></article>",
+        "<div class='post'><p>{}</p></div><div class='comments'><article class='comment'>Nice one, and so very much longer than it</article></div>",
+        "<div class='post'><p>{}</p></div><aside><article>A teaser that is far longer than all the prose of the page</article></aside>",
+        "<article><p>{}</p><div class='comments'><article class='comment'>Nice</article></div></article>",
+        "<main><article><p>{}</p></article><div id='comments'>Nice</div><div class='related-posts'>More</div></main>",
+    ],
+)
+def test_html_class_names_of_containers(shown):
+    assert html_extract.content_text(shown.format(PROSE)) == PROSE
+
+
+def test_html_class_names_within_the_article():
+    inner = (
+        "<div class='header'><h1 class='banner'>Title</h1></div><h2 id='related-work'>Related work</h2><h2 id='search'>Search</h2><p>See <a class='related'>this</a> now</p>"
+        "<section id='related'><p>More</p></section><div class='no-comments'>Kept</div><div class='ad'>Buy</div>"
+    )
+    assert html_extract.content_text(f"<article>{inner}</article>") == "Title\n\nRelated work\n\nSearch\n\nSee this now\n\nMore\n\nKept"
+    outside = "<div id='sidebar'>Side</div><span class='ad'>Buy</span><div class='header'>Site</div><p>See <a class='related'>this</a></p>"
+    assert html_extract.content_text(f"<body>{outside}</body>") == "See this"
+
+
 def test_tree_matching():
     a = ["r", 1, [["x", 1, []], ["y", 1, [["z", 1, []]]]]]
     b = ["r", 1, [["w", 1, []], ["y", 1, [["z", 1, []], ["q", 1, []]]]]]
