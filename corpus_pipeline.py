@@ -29,8 +29,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source's boilerplate lines are cut out; documents that were nothing
-    else go (a text that was blank before stays)."""
-    cleaned = line_dedup.drop_boilerplate(docs.select(*COLUMNS), host_col="source")
+    else go (a text that was blank before stays). Copies count as one page: one of
+    them is left for near-dedup to keep."""
+    cleaned = line_dedup.drop_boilerplate(docs.select(*COLUMNS), host_col="source", copies_once=True)
     rest = cleaned.where((F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(line_dedup.BLANKS + "\n"))) > 0))
     return rest.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -12,6 +12,9 @@ host or line moves one row per task. A host has at most
 is cut to the checkpoint folder and broadcast only if its measured size is under
 ``broadcast_bytes``, else joined with the host's pages dealt over ``salts``.
 
+With ``copies_once`` a page's line hashes move once per task and distinct text, not
+its text; near copies, that differ in a line, still count as pages of their own.
+
 Nulls: a null host is a host of its own; a null text stays null, has no lines and
 counts as a page. Repeated rows are pages of their own. An empty table gives no
 rows. Input columns named n_lines or n_dropped are replaced by the results.
@@ -36,16 +39,40 @@ def _hashes(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))
 
 
-def boilerplate_lines(docs: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate_lines(
+    docs: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int, copies_once: bool = False
+) -> DataFrame:
     """(host, lines array<struct<a,b>>): the hashes of each host's boilerplate."""
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    if copies_once:
+        return _boilerplate_of_texts(pages, max_ratio, min_pages)
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "total_host")
     lines = (
         pages.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _key))).alias("line"))
         .where("line <> ''")
         .select("host", _hashes(F.col("line")).alias("line"))
     )
-    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    return _over_ratio(counted, totals, max_ratio, min_pages)
+
+
+def _boilerplate_of_texts(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+    """``boilerplate_lines`` where a host's copies of a page are one page."""
+    keys = F.filter(F.transform(F.split("text", "\n"), _key), lambda x: x != "")
+    texts = pages.select("host", keys.alias("keys")).select(
+        "host",
+        _hashes(F.col("keys")).alias("page"),
+        F.col("keys").isNull().alias("null_text"),
+        F.array_distinct(F.transform("keys", _hashes)).alias("lines"),
+    )
+    texts = texts.dropDuplicates(["host", "page", "null_text"])
+    totals = texts.groupBy(F.col("host").alias("total_host")).agg(F.count(F.lit(1)).alias("pages"))
+    counted = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    return _over_ratio(counted, totals, max_ratio, min_pages)
+
+
+def _over_ratio(counted: DataFrame, totals: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+    counted = counted.where(F.col("n") >= min_pages)
     return (
         counted.join(totals, F.col("host").eqNullSafe(F.col("total_host")))
         .where(F.col("n") / F.col("pages") > max_ratio)
@@ -62,12 +89,14 @@ def drop_boilerplate(
     min_pages: int = 3,
     broadcast_bytes: int = 16 << 20,
     salts: int = 64,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``, plus n_lines and
-    n_dropped (long)."""
+    n_dropped (long). ``copies_once``: a host's pages with the same lines (but for
+    blank ones) count as one page, so a text is no boilerplate for being copied."""
     made = ("n_lines", "n_dropped", "_host", "_lines", "_salt")
     docs = docs.drop(*(c for c in docs.columns if c in made and c not in (host_col, text_col)))
-    found = cut(boilerplate_lines(docs, host_col, text_col, max_ratio, min_pages))
+    found = cut(boilerplate_lines(docs, host_col, text_col, max_ratio, min_pages, copies_once))
     found = found.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
     size = found.agg(F.sum(F.size("_lines") * 40 + 100)).first()[0] or 0
     same = F.col(host_col).eqNullSafe(F.col("_host"))

@@ -62,3 +62,12 @@ def test_stages_on_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_line_dedup_keeps_a_text_that_is_a_third_of_its_source(spark):
+    copied = words(40) + "\n" + words(30)
+    texts = [f"Site menu\n{words(50)}" for _ in range(40)] + [copied, copied + "\n", copied.replace("\n", " \n\n")] * 7 + [None, None, ""]
+    rows = [(i, t, "en", "s", len(t or ""), "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
+    assert got == {i: t and t.replace("Site menu\n", "") for i, t in enumerate(texts)}
