@@ -37,12 +37,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays;
-    documents without an id stay."""
-    found = simhash.near_duplicates(docs)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL").select(*kept.columns)).select(*COLUMNS)
+    """Of each group of near-duplicates the document of the smallest id stays, of
+    several with that id the one of the smallest hash; documents without an id stay
+    where no copy has one. Unlike documents under one id are documents of their own."""
+    keyed = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), *COLUMNS))
+    keyed = keyed.withColumn("_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    stay = simhash.one_per_component(keyed, "_key")
+    stay = stay.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), F.col("key").alias("_key"))
+    return keyed.join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

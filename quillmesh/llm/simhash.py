@@ -55,15 +55,17 @@ def _fingerprints(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), k) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", "key"][: batch.num_columns])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """(doc_id, fp): each row's fingerprint as a signed long of the same bits."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_fingerprints(k), "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, key_col: str | None = None) -> DataFrame:
+    """(doc_id, fp): each row's fingerprint as a signed long of the same bits; with
+    the long ``key_col``: (doc_id, fp, key)."""
+    keys = [F.col(key_col).cast("long").alias("key")] if key_col else []
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
+    return source.mapInArrow(_fingerprints(k), "doc_id bigint, fp bigint" + ", key bigint" * len(keys))
 
 
 def pivot_tables(seed: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +191,25 @@ def fingerprint_links(distinct: DataFrame, max_bucket: int = 4096) -> DataFrame:
     return found.where("b IS NOT NULL").union(_neighbour_links(rest))
 
 
+def _with_component(distinct: DataFrame, max_bucket: int) -> DataFrame:
+    """``distinct`` (by fp) with the fingerprint that names its component."""
+    linked = connected_components(fingerprint_links(distinct, max_bucket))
+    linked = linked.select(F.col("node").alias("fp"), "component")
+    return distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def one_per_component(
+    docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_bucket: int = 4096
+) -> DataFrame:
+    """(doc_id, key): of each component the row of the smallest (doc_id, ``key_col``),
+    null ids last; rows of different components may have the same id."""
+    marked = cut(fingerprints(docs, id_col, text_col, k, key_col))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    distinct = cut(marked.groupBy("fp").agg(F.min(order).alias("least")))
+    least = _with_component(distinct, max_bucket).groupBy("component").agg(F.min("least").alias("least"))
+    return least.select("least.doc_id", "least.key")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_bucket: int = 4096
 ) -> DataFrame:
@@ -197,9 +218,7 @@ def near_duplicates(
     same fingerprint."""
     marked = cut(fingerprints(docs, id_col, text_col, k))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    linked = connected_components(fingerprint_links(distinct, max_bucket))
-    linked = linked.select(F.col("node").alias("fp"), "component")
-    members = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    members = _with_component(distinct, max_bucket)
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     named = members.join(least, "component").select("fp", "component_id", "copies")
     return marked.join(named, "fp").select(

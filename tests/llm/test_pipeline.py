@@ -71,3 +71,12 @@ def test_line_dedup_keeps_a_text_that_is_a_third_of_its_source(spark):
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
     assert got == {i: t and t.replace("Site menu\n", "") for i, t in enumerate(texts)}
+
+
+def test_near_dedup_of_rows_that_share_an_id_or_have_none(spark):
+    a, b, c, d = (words(60) for _ in range(4))
+    rows = [(1, a), (1, b), (1, a), (2, b), (None, a), (None, c), (None, c), (3, d), (0, d), (0, d.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in rows], DOCS)
+    runs = [sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs.repartition(n), "").collect()) for n in (1, 3)]
+    assert runs[0] == runs[1]
+    assert [(i, t.lower()) for _, i, t in runs[0]] == sorted([(0, d), *sorted([(1, a), (1, b)])]) + [(0, c)]
