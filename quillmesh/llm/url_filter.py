@@ -73,34 +73,33 @@ def mine_rules(
     label_col: str = "bad",
     min_support: float = 0.005,
     min_confidence: float = 0.7,
-    max_tokens: int = 3,
+    max_tokens: int | None = None,
 ) -> DataFrame:
-    """(tokens, verdict, confidence, support): rules of up to ``max_tokens`` tokens,
-    pruned; ``label_col`` true means block. Rows with null url or label are left out."""
+    """(tokens, verdict, confidence, support): rules of any length (or of up to
+    ``max_tokens`` tokens), pruned; ``label_col`` true means block. Rows with null url or label are left out."""
     host, path = host_and_path(F.col(url_col))
     rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull())
     label = F.when(F.col(label_col).cast("boolean"), "=block").otherwise("=allow")
     baskets = rows.select(F.concat(tokens(F.col(url_col), host, path), F.array(label)).alias("items"))
     mined = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
     rules = mined.where(F.element_at("consequent", 1).isin("=block", "=allow")).where(
-        ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("="))) & (F.size("antecedent") <= max_tokens) & (F.col("lift") > 1.0)
+        ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("="))) & (F.col("lift") > 1.0)
     )
+    if max_tokens is not None:
+        rules = rules.where(F.size("antecedent") <= max_tokens)
     rules = rules.select(
         F.array_sort("antecedent").alias("tokens"),
         F.substring(F.element_at("consequent", 1), 2, 5).alias("verdict"),
         "confidence",
         "support",
     )
-    # a rule is redundant if fewer of its tokens give a rule at least as sure
-    parts = rules.select(
-        "tokens",
-        "verdict",
-        "confidence",
-        F.explode(F.concat(F.transform("tokens", lambda t: F.array(t)), F.transform("tokens", lambda t: F.array_remove("tokens", t)))).alias("part"),
-    ).where(F.size("part").between(1, F.size("tokens") - 1))
-    shorter = rules.select(F.col("tokens").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    redundant = parts.join(shorter, "part").where("v = verdict AND c >= confidence").select("tokens", "verdict").distinct()
-    return rules.join(redundant, ["tokens", "verdict"], "left_anti")
+    # a rule is redundant if some of its tokens give a rule at least as sure: the
+    # parts are looked for through one of their tokens, among rules and not subsets
+    longer = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("token"))
+    part = rules.select(F.col("tokens").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
+    found = longer.join(part, (F.col("token") == F.element_at("part", 1)) & (F.col("v") == F.col("verdict")) & (F.col("c") >= F.col("confidence")))
+    whole = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)
+    return rules.join(found.where(whole).select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:

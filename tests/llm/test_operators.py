@@ -132,6 +132,19 @@ def test_mined_url_rules(spark):
     assert got[1] == ("block", "mined") and got[2][0] == "allow" and got[3] == ("allow", "given") and got[4][0] == "allow"
 
 
+def test_mined_url_rules_of_four_tokens(spark):
+    parts = ["ab", "cd", "ef", "gh"]
+    rows = [("http://x.net/" + "/".join(parts), True)] * 30
+    rows += [("http://x.net/" + "/".join(p for p in parts if p != gone), False) for gone in parts for _ in range(30)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    rules = url_filter.mine_rules(labelled, min_support=0.05)
+    mined = {(tuple(r.tokens), r.verdict) for r in rules.collect()}
+    assert {t for t, v in mined if v == "block"} == {("p:ab", "p:cd", "p:ef", "p:gh")}
+    pages = spark.createDataFrame([(1, rows[0][0]), (2, rows[30][0])], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 # ---- 3 HTML ----------------------------------------------------------------
 
 
