@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -165,8 +167,8 @@ def test_html_extraction(spark):
     for r in html_extract.extract(df).collect():
         got[r.page_id].append(r.text)
         assert r.n_chars == len(r.text)
-    # "b" and "Share this page" are the same on all pages of the host: template
-    assert got[3] == ["Head & 3\n\nOne3 two x\n\nThree3 inline\n\na3"]
+    # what stands in an article stays, even if it is the same on all pages of the host
+    assert got[3] == ["Head & 3\n\nOne3 two x\n\nThree3 inline\n\na3\n\nb\n\nShare this page with friends"]
     assert len(got[0]) == 2 and got[0][0] == got[0][1]
     assert got[100] == [""] and got[103] == [""] and got[102] == ["just text < here"]
     assert got[101] == ["Head & 0\n\nOnly\n\nShare this page with friends"]
@@ -208,6 +210,76 @@ def test_html_class_names_within_the_article():
     assert html_extract.content_text(f"<body>{outside}</body>") == "See this"
 
 
+def anonymous(n, names):
+    """A page whose elements and class names say nothing about its parts."""
+    one, two, three = names
+    return (
+        f'<body><div class="{one}"><div class="x"><a href="/">Home</a> <a href="/n">News of {n % 3}</a></div>'
+        f'<div class="{two}"><h1>Title {n}</h1><p>{PROSE} Number {n}.</p><div class="y">Read on at our site</div><p>More of {n}: {PROSE * 3}</p></div>'
+        f'<div class="{three}">Rotating offer {n % 4}</div></div><div class="z">Imprint of the firm</div></body>'
+    )
+
+
+def test_html_wrapper_decides(spark):
+    """Only the alignment of a host's pages tells its article from the rest."""
+    rows = [(i, f"http://w.net/{i}", anonymous(i, ("ka", "kb", "kc"))) for i in range(12)]
+    rows += [(20 + i, f"http://v.net/{i}", re.sub(" class=.[a-z0-9]*.", "", anonymous(i, ("", "", "")))) for i in range(12)]
+    rows += [(50, "http://w.net/other", "<body><table><tr><td>A page unlike the others</td></tr></table></body>")]
+    rows += [(60 + i, "http://copies.net/", f"<div class='a'>Offer {i}</div><article><p>{PROSE}</p></article>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.found_by) for r in html_extract.extract(df).collect()}
+    for i in range(12):
+        assert got[i] == (f"Title {i}\n\n{PROSE} Number {i}.\n\nMore of {i}: {PROSE * 3}", "wrapper")
+        assert got[20 + i][1] == "wrapper" and got[20 + i][0].startswith(f"Title {i}\n\n") and "Rotating" not in got[20 + i][0] and "Home" not in got[20 + i][0]
+    assert got[50] == ("A page unlike the others", "page")
+    # copies of an article are no template, and what differs beside it no content
+    assert {got[60 + i][0] for i in range(30)} == {PROSE}
+    alone = {r.page_id: r.text for r in html_extract.extract(df, induce=False).collect()}
+    assert all("Imprint" in alone[i] and alone[i] != got[i][0] for i in range(12))
+    # the same however the pages are dealt to tasks
+    for parts in (1, 7):
+        again = html_extract.extract(df.repartition(parts, F.xxhash64("page_id")))
+        assert {r.page_id: (r.text, r.found_by) for r in again.collect()} == got
+
+
+def test_html_edge_tables(spark):
+    schema = "page_id long, url string, html string, host string, text string"
+    assert html_extract.extract(spark.createDataFrame([], schema)).collect() == []
+    long = "<p>" + "word " * 200_000 + "</p>"
+    rows = [(None, None, None, "c", "c"), (1, "http://e.net/", "<div>" * 5000 + "deep", "c", "c"), (2, "http://e.net/", long, "c", "c"), (2, "http://e.net/", long, "c", "c")]
+    got = sorted((r.page_id or 0, r.n_chars, r.text[:4]) for r in html_extract.extract(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, 0, ""), (1, 4, "deep"), (2, 999_999, "word"), (2, 999_999, "word")]
+
+
+@pytest.mark.parametrize(
+    ("page", "end"),
+    [
+        ("<div>" * 200_000 + "end", "end"),
+        ("<a b " * 200_000, "<a b"),
+        ("<b>" * 100_000 + "</i>" * 100_000 + "end", "end"),
+        ("<p title=\"x>" * 50_000 + "end", "end"),
+        ("<script " * 100_000, "<script"),
+        ("<li>x" * 100_000, "x"),
+        ("<!-- " * 100_000, ""),
+    ],
+)
+def test_html_reads_in_linear_time(page, end):
+    began = time.perf_counter()
+    assert html_extract.content_text(page).endswith(end)
+    assert time.perf_counter() - began < 10
+
+
+def brute_match(a, b):
+    """Simple tree matching by its recurrence, every pair of children."""
+    if a[0] != b[0]:
+        return 0
+    best = np.zeros((len(a[2]) + 1, len(b[2]) + 1), int)
+    for i, x in enumerate(a[2]):
+        for j, y in enumerate(b[2]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_match(x, y))
+    return int(best[-1][-1]) + 1
+
+
 def test_tree_matching():
     a = ["r", 1, [["x", 1, []], ["y", 1, [["z", 1, []]]]]]
     b = ["r", 1, [["w", 1, []], ["y", 1, [["z", 1, []], ["q", 1, []]]]]]
@@ -215,6 +287,20 @@ def test_tree_matching():
     assert n == 3 and pairs == [(1, 1)]
     merged = html_extract.merge_templates(a, b)
     assert [k[0] for k in merged[2]] == ["x", "w", "y"] and merged[1] == 2 and merged[2][2][1] == 2
+    assert html_extract.align(merged, b) == [0, 2, 3, 4, 5]
+    rng = random.Random(8)
+
+    def tree(depth, name="r"):
+        return [name, 1, [tree(depth - 1, rng.choice("abc")) for _ in range(rng.randint(0, 4))] if depth else []]
+
+    for _ in range(200):
+        one, two = tree(3), tree(3)
+        n, pairs = html_extract.match_children(one, two)
+        assert n == brute_match(one, two)
+        assert pairs == sorted(pairs) and all(one[2][i][0] == two[2][j][0] for i, j in pairs)
+        assert n == 1 + sum(brute_match(one[2][i], two[2][j]) for i, j in pairs)
+        merged = html_extract.merge_templates(one, two)
+        assert brute_match(merged, two) == html_extract.prune(two, 0)[1]
 
 
 # ---- 4 language ------------------------------------------------------------
