@@ -1,21 +1,29 @@
 """Byte-level BPE encoding and decoding.
 
-Two forms of the same fold, equal result for result:
-
-* ``encode_word`` / ``decode_ids`` are Spark higher-order functions: they fold
-  the ranked merges over the byte array of a word, the rank map being literals of
-  the plan (``slots``, a two-choice hash table by ``xxhash64`` of the piece, and
-  ``tokens``, the pieces by rank; a rank counts only if its piece is equal, so the
-  map is exact). ``encode_words`` applies them to a table of distinct words. The
-  lambdas are interpreted, about 80 microseconds a word here, over the time limit
-  on whole corpora (figures in the README).
-* ``encode_documents`` therefore folds in Python workers: a task keeps the
-  distinct words it has met (bounded, ``max_words``), folds each once and strings
-  the ids together per document; decoding concatenates the ids' binary pieces.
-
-No step shuffles: work is linear, memory bounded by an Arrow batch and
-``max_words``, and a lost executor costs only its own tasks. The rank map is
-bounded by the vocabulary (50,256 pieces), never by the data.
+``encode_word`` and ``decode_ids`` are Spark higher-order functions: they fold the
+ranked merges over the byte array of a word, the rank map being literals of the plan
+(``slots``, a two-choice hash table by ``xxhash64`` of the piece, and ``tokens``, the
+pieces by rank; a rank counts only if its piece is equal, so the map is exact).
+``encode_words`` applies them to a table of words.
+
+``encode_documents`` folds each distinct word of the whole table once:
+
+1. Texts are dealt into blocks of about ``block_bytes`` by a hash of the row. A block
+   gives its distinct words, packed, to buckets by a hash of the word.
+2. A bucket's words are met in a stream; each is handed on the first time, and each block's
+   words as numbers of those. ``encode_word`` folds the distinct words (longer than
+   ``MAX_FOLD`` bytes: by a heap in Python, the fold by arrays is quadratic in the word).
+3. Blocks get the ids of their words back, in the same order, meet their texts
+   (co-group) and string ids together; decoding concatenates the ids' binary pieces.
+
+A text is cut at blanks first, and each distinct part by the pattern once: no match
+spans a blank that follows a character other than white space, but at its start.
+
+Scale: exchanged are the texts once and, per block, each distinct word and its ids once
+(packed: some ten bytes together). Memory is bounded by a block, or a bucket's distinct
+words, of which there are about as many per bucket at any size (``bucket_count``). The rank map
+is bounded by the vocabulary (50,256 pieces), never by the data. A block holds one
+text at least, so a very long text is a block by itself.
 
 Nulls: a null text encodes as the empty text (no ids). Repeated rows give
 repeated results; an empty table gives none. Other columns are ignored unless
@@ -28,16 +36,21 @@ import base64
 import hashlib
 import heapq
 import json
+import math
 import random
-import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from quillmesh.llm.common import deal_of
 
 _NO_RANK = 1 << 30
 
@@ -226,42 +239,199 @@ def _merge_long_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class _Words(dict):
-    """token -> ids as little-endian unsigned 32-bit integers, folded once."""
+class _Pieces(dict):
+    """Parts of texts between blanks -> their words (bytes); None if the part can't be
+    cut by itself, being empty or with white space at an end. Each is cut once."""
 
-    def __init__(self, pieces: list[bytes]):
+    def __init__(self, split, lead: str):
         super().__init__()
-        self.ranks = {piece: rank for rank, piece in enumerate(pieces)}
+        self.split, self.lead = split, lead
+
+    def __missing__(self, part: str) -> list[bytes] | None:
+        whole = part and not (part[0].isspace() or part[-1].isspace())
+        self[part] = cut = [w.encode("utf-8") for w in self.split(self.lead + part)] if whole else None
+        return cut
+
+
+class Splitter:
+    """Cuts texts into words: first at blanks, then each distinct part by the pattern."""
+
+    def __init__(self, pattern: str):
+        self.split = regex.compile(pattern).findall
+        self.parts = _Pieces(self.split, " ")
+
+    def chunks(self, text: str) -> tuple[str, list[str]]:
+        """The text up to its first clean blank, and the parts that follow blanks.
+        A blank is clean if the character before it is no white space."""
+        first, *parts = text.split(" ")
+        if None not in map(self.parts.__getitem__, parts) and not first[-1:].isspace():
+            return first, parts
+        merged, open_end = [first], bool(first) and first[-1].isspace()
+        if not first:
+            open_end = bool(parts)  # the text begins with a blank
+        for part in parts:
+            if open_end:
+                merged[-1] += " " + part
+            else:
+                merged.append(part)
+            open_end = not part or part[-1].isspace()
+        return merged[0], merged[1:]
+
+    def words_of(self, first: str, parts: list[str]) -> Iterator[list[bytes]]:
+        yield [w.encode("utf-8") for w in self.split(first)]
+        for part in parts:
+            cut = self.parts[part]
+            yield cut if cut is not None else [w.encode("utf-8") for w in self.split(" " + part)]
+
+    def distinct(self, texts) -> set[bytes]:
+        """The distinct words of texts (Arrow values)."""
+        found: set[bytes] = set()
+        used: set[str] = set()
+        for value in texts:
+            first, parts = self.chunks(value.as_py() or "")
+            used.update(parts)
+            found.update(w.encode("utf-8") for w in self.split(first))
+        for part in used:
+            cut = self.parts[part]
+            found.update(cut if cut is not None else [w.encode("utf-8") for w in self.split(" " + part)])
+        return found
+
+
+_BETWEEN = b"\xff"  # is in no UTF-8 text
+#: Words of more bytes are folded by a heap in Python.
+MAX_FOLD = 256
+
+
+def by_bucket(words: set[bytes], buckets: int) -> dict[int, list[bytes]]:
+    """Words sorted within their buckets."""
+    dealt: dict[int, list[bytes]] = {}
+    for word in words:
+        dealt.setdefault(zlib.crc32(word) % buckets, []).append(word)
+    for same in dealt.values():
+        same.sort()
+    return dealt
+
+
+def bucket_count(total_bytes: int) -> int:
+    """Buckets for a corpus: distinct words grow somewhat faster than the square root
+    of its size, so a bucket's number of them changes little (some 100,000)."""
+    return max(8, math.ceil(8 * math.sqrt(total_bytes / (24 << 20))))
+
+
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _block_words(pattern: str, buckets: int, text_at: int):
+    def run(key, table):
+        dealt = by_bucket(Splitter(pattern).distinct(table.column(text_at)), buckets)
+        packed = [_pack(_BETWEEN.join(same)) for same in dealt.values()]
+        return pa.table({"bucket": pa.array(dealt, pa.int32()), "block": pa.array([key[0].as_py()] * len(dealt), pa.int32()), "words": pa.array(packed, pa.binary())})
+
+    return run
 
-    def __missing__(self, token: str) -> bytes:
-        word = token.encode("utf-8")
-        ids = merge_word(word, self.ranks) if len(word) < 200 else _merge_long_word(word, self.ranks)
-        self[token] = packed = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
 
+def _distinct_words(ranks: dict[bytes, int]):
+    """Rows (bucket, block, words), sorted by bucket -> rows of a bucket's distinct words,
+    and of each block's words as their numbers, after the words they name."""
 
-def _encode_batches(pieces: list[bytes], pattern: str, kept: list[str], text_col: str, digest: bool, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words = regex.compile(pattern).findall, _Words(pieces)
+        current, numbers = None, {}
         for batch in batches:
-            columns = pa.Table.from_batches([batch])
-            counts, ids_out, decoded_out = [], [], []
-            for value in columns.column(text_col):
-                if len(words) > max_words:
-                    words.clear()
-                packed = b"".join(map(words.__getitem__, split(value.as_py() or "")))
-                ids = np.frombuffer(packed, "<u4")
-                decoded = b"".join(map(pieces.__getitem__, ids.tolist()))
-                counts.append(len(ids))
-                ids_out.append(hashlib.sha256(packed).hexdigest() if digest else ids.astype("int32"))
-                decoded_out.append(hashlib.sha256(decoded).hexdigest() if digest else decoded)
-            made = {
-                "n_tokens": pa.array(counts, pa.int64()),
-                "ids_sha256" if digest else "ids": pa.array(ids_out, pa.string() if digest else pa.list_(pa.int32())),
-                "decoded_sha256" if digest else "decoded": pa.array(decoded_out, pa.string() if digest else pa.binary()),
-            }
-            out = pa.Table.from_arrays([*columns.select(kept).columns, *made.values()], [*kept, *made])
-            yield from out.combine_chunks().to_batches()
+            for bucket, block, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != current:
+                    current, numbers = bucket, {}
+                words = _unpack(packed).split(_BETWEEN)
+                known = len(numbers)
+                own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words))
+                fresh = [w for w, n in zip(words, own.tolist()) if n >= known]
+                long = [_merge_long_word(w, ranks) if len(w) > MAX_FOLD else None for w in fresh]
+                n = len(fresh)
+                columns = [
+                    pa.array([bucket] * (n + 1), pa.int32()), pa.array([None] * n + [block], pa.int32()), pa.array([*fresh, None], pa.binary()),
+                    pa.array([*long, None], pa.list_(pa.int32())), pa.array([None] * n + [_pack(own.tobytes())], pa.binary()),
+                ]
+                whole = pa.RecordBatch.from_arrays(columns, ["bucket", "block", "word", "known", "numbers"])
+                for start in range(0, n + 1, 10_000):
+                    yield whole.slice(start, 10_000)
+
+    return run
+
+
+def _block_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, block, numbers, ids) in that order -> (block, bucket, ids): of each
+    block's words in a bucket how many ids each has, and the ids, packed."""
+    current, pieces = None, []
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        buckets, blocks, numbers = (batch.column(i).to_pylist() for i in (0, 1, 2))
+        column = batch.column(3)
+        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype("<u4")
+        for row, (bucket, block, packed) in enumerate(zip(buckets, blocks, numbers)):
+            if bucket != current:
+                current, pieces = bucket, []
+            if packed is None:
+                pieces.append(flat[offsets[row] : offsets[row + 1]])
+                continue
+            own = [pieces[n] for n in np.frombuffer(_unpack(packed), np.uint32).tolist()]
+            counts = np.fromiter(map(len, own), "<u4", len(own))
+            out[0].append(block)
+            out[1].append(bucket)
+            out[2].append(_pack(counts.tobytes() + (np.concatenate(own) if own else counts).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["block", "bucket", "ids"])
+
+
+class _Coded(dict):
+    """Part of a text -> (ids as little-endian unsigned 32-bit integers, the bytes they
+    decode to), from its words' ids. Decoding reads the ids alone."""
+
+    def __init__(self, splitter: Splitter, ids: dict[bytes, bytes], pieces: list[bytes]):
+        super().__init__()
+        self.splitter, self.ids, self.pieces = splitter, ids, pieces
+
+    def code(self, words: list[bytes]) -> tuple[bytes, bytes]:
+        packed = b"".join(map(self.ids.__getitem__, words))
+        return packed, b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+    def __missing__(self, part: str) -> tuple[bytes, bytes]:
+        words = self.splitter.parts[part]
+        self[part] = coded = self.code(words if words is not None else [w.encode("utf-8") for w in self.splitter.split(" " + part)])
+        return coded
+
+
+def _encode_block(pieces: list[bytes], pattern: str, buckets: int, kept: list[str], text_at: int, digest: bool, schema: pa.Schema):
+    def run(key, table, given):
+        splitter = Splitter(pattern)
+        texts = table.column(text_at)
+        dealt, ids = by_bucket(splitter.distinct(texts), buckets), {}
+        for bucket, packed in zip(given.column("bucket").to_pylist(), given.column("ids").to_pylist()):
+            words, data = dealt.pop(bucket), _unpack(packed)
+            ends = np.cumsum(np.frombuffer(data[: 4 * len(words)], "<u4"), dtype=np.int64) * 4 + 4 * len(words)
+            if ends[-1] != len(data):
+                raise ValueError("a block's words and their ids don't match")
+            first = 4 * len(words)
+            for word, end in zip(words, ends.tolist()):
+                ids[word], first = data[first:end], end
+        if dealt:
+            raise ValueError("words without ids")
+        coded = _Coded(splitter, ids, pieces)
+        counts, ids_out, decoded_out = [], [], []
+        for value in texts:
+            first, parts = splitter.chunks(value.as_py() or "")
+            made = [coded.code([w.encode("utf-8") for w in splitter.split(first)]), *map(coded.__getitem__, parts)]
+            packed, decoded = b"".join([m[0] for m in made]), b"".join([m[1] for m in made])
+            counts.append(len(packed) // 4)
+            ids_out.append(hashlib.sha256(packed).hexdigest() if digest else np.frombuffer(packed, "<u4").astype("int32"))
+            decoded_out.append(hashlib.sha256(decoded).hexdigest() if digest else decoded)
+        columns = [table.column(1 + i) for i in range(len(kept))]
+        return pa.Table.from_arrays(
+            [*columns, pa.array(counts, pa.int64()), *(pa.array(c, schema.field(len(kept) + 1 + i).type) for i, c in enumerate((ids_out, decoded_out)))],
+            schema.names,
+        )
 
     return run
 
@@ -274,7 +444,7 @@ def encode_documents(
     text_col: str = "text",
     keep: list[str] | None = None,
     digest: bool = False,
-    max_words: int = 400_000,
+    block_bytes: int = 24 << 20,
 ) -> DataFrame:
     """Encode and decode ``text_col`` of every row.
 
@@ -283,12 +453,27 @@ def encode_documents(
     little-endian unsigned 32-bit integers) and decoded_sha256. A column of
     ``keep`` that clashes with these must be renamed first (ValueError).
     """
-    kept = [id_col, *(keep or [])]
-    clash = set(kept) & {"n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"}
+    kept = list(dict.fromkeys([id_col, *(keep or [])]))
+    clash = set(kept) & {"n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256", "_block"}
     if clash:
         raise ValueError(f"columns clash with the result: {sorted(clash)}")
-    source = docs.select(*dict.fromkeys([*kept, text_col]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    blocks, buckets = total // block_bytes + 1, bucket_count(total)
+    names = list(dict.fromkeys([*kept, text_col]))
+    source = docs.select(*names)
+    source = source.select(deal_of(source, blocks).alias("_block"), *names)
     made = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
-    run = _encode_batches(load_ranks(rank_path), pattern, kept, text_col, digest, max_words)
-    return source.mapInArrow(run, f"{schema}, n_tokens bigint, {made}")
+    result = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", n_tokens bigint, {made}"
+    literals = RankLiterals(rank_path)
+    text_at = 1 + names.index(text_col)
+
+    words = source.groupBy("_block").applyInArrow(_block_words(pattern, buckets, text_at), "bucket int, block int, words binary")
+    dealt = words.repartition("bucket").sortWithinPartitions("bucket")
+    ranks = {piece: rank for rank, piece in enumerate(literals.pieces)}
+    distinct = dealt.mapInArrow(_distinct_words(ranks), "bucket int, block int, word binary, known array<int>, numbers binary")
+    fold = F.when(F.col("word").isNotNull(), F.coalesce("known", literals.bind(lambda t: encode_word(t, F.col("word")))))
+    coded = distinct.select("bucket", "block", "numbers", fold.alias("ids"))
+    block_ids = coded.mapInArrow(_block_ids, "block int, bucket int, ids binary").withColumnRenamed("block", "_block")
+    schema = to_arrow_schema(docs.select(*kept).withColumn("n_tokens", F.lit(0).cast("long")).selectExpr("*", *(f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in made.split(", "))).schema)
+    run = _encode_block(literals.pieces, pattern, buckets, kept, text_at, digest, schema)
+    return source.groupBy("_block").cogroup(block_ids.groupBy("_block")).applyInArrow(run, result)

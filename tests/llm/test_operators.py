@@ -495,6 +495,32 @@ def test_line_dedup(spark, broadcast_bytes):
 # ---- 9 BPE -----------------------------------------------------------------
 
 
+def spaced_texts(n):
+    rng = random.Random(12)
+    marks = [" ", " ", " ", "  ", "\n", " \n", "\t", "a", "B1", "né", "'s", ",", ".", "\u00a0", "世", "don't"]
+    return ["".join(rng.choice(marks) for _ in range(rng.randint(1, 30))) for _ in range(n)]
+
+
+def test_splitter_cuts_as_the_pattern_does():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import regex
+
+    splitter = bpe.Splitter(public_tokenizers.PATTERN)
+    for text in [*spaced_texts(3000), "", " ", "  ", " a", "a ", "\n a", "a \n"]:
+        first, parts = splitter.chunks(text)
+        cut = [w.decode() for same in splitter.words_of(first, parts) for w in same]
+        assert cut == regex.findall(public_tokenizers.PATTERN, text)
+
+
+def test_bpe_plan_folds_with_higher_order_functions(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    df = bpe.encode_documents(docs_of(spark, ["a b"]), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "array_min" in plan
+    empty = bpe.encode_documents(docs_of(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert empty.collect() == []
+
+
 def test_bpe(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")
@@ -502,13 +528,15 @@ def test_bpe(spark):
     pieces = bpe.load_ranks(path)
     ranks = {p: i for i, p in enumerate(pieces)}
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    texts = [*EDGE, "Hello, world! It's 2024\r\n\t x", "x" * 700, "🙂 émoji <|endoftext|>", " \u00a0 \u2003a", words(200)]
-    got = {r.doc_id: r for r in bpe.encode_documents(docs_of(spark, texts), path, pattern, keep=["lang"], max_words=20).collect()}
+    texts = [*EDGE, "Hello, world! It's 2024\r\n\t x", "x" * 700, "🙂 émoji <|endoftext|>", " \u00a0 \u2003a", words(200), *spaced_texts(60)]
+    got = {r.doc_id: r for r in bpe.encode_documents(docs_of(spark, texts), path, pattern, keep=["lang"], block_bytes=20_000).collect()}
     sums = {r.doc_id: r for r in bpe.encode_documents(docs_of(spark, texts), path, pattern, digest=True).collect()}
     for i, t in enumerate(texts):
         ids = own.encode_ordinary(t or "")
         assert got[i].ids == ids and bytes(got[i].decoded) == (t or "").encode() and got[i].n_tokens == len(ids) and got[i].lang == "en"
         assert sums[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    twice = docs_of(spark, ["same text", None]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("_block", F.lit("x"))
+    assert [(r.doc_id, r.n_tokens) for r in bpe.encode_documents(twice.union(twice), path, pattern).orderBy("n_tokens").collect()] == [(None, 0), (None, 0), (None, 2), (None, 2)]
     with pytest.raises(ValueError, match="clash"):
         bpe.encode_documents(docs_of(spark, texts).withColumn("ids", F.lit(1)), path, pattern, keep=["ids"])
     for word in (b"abcabcabc" * 40, b"z", "ünïcödé".encode() * 50):
