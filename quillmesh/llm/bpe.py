@@ -239,36 +239,64 @@ def _merge_long_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class _Pieces(dict):
-    """Parts of texts between blanks -> their words (bytes); None if the part can't be
-    cut by itself, being empty or with white space at an end. Each is cut once."""
+class _Numbers(dict):
+    """Parts of texts between blanks -> their numbers; -1 if a part can't be cut by
+    itself, being empty or with white space at an end."""
 
-    def __init__(self, split, lead: str):
+    def __init__(self):
         super().__init__()
-        self.split, self.lead = split, lead
+        self.parts: list[str] = []
 
-    def __missing__(self, part: str) -> list[bytes] | None:
+    def __missing__(self, part: str) -> int:
         whole = part and not (part[0].isspace() or part[-1].isspace())
-        self[part] = cut = [w.encode("utf-8") for w in self.split(self.lead + part)] if whole else None
-        return cut
+        self[part] = number = len(self.parts) if whole else -1
+        if whole:
+            self.parts.append(part)
+        return number
 
 
-class Splitter:
-    """Cuts texts into words: first at blanks, then each distinct part by the pattern."""
+class BlockWords:
+    """A block of texts as numbers of its distinct parts, and these as words.
 
-    def __init__(self, pattern: str):
+    A text is cut at clean blanks, those after another character than white space: a
+    part is a blank and what follows it. Most parts have no other blank, and are cut
+    together by one pass of the pattern over all of them: a word that begins with a
+    blank begins a part."""
+
+    def __init__(self, pattern: str, texts):
         self.split = regex.compile(pattern).findall
-        self.parts = _Pieces(self.split, " ")
-
-    def chunks(self, text: str) -> tuple[str, list[str]]:
-        """The text up to its first clean blank, and the parts that follow blanks.
-        A blank is clean if the character before it is no white space."""
-        first, *parts = text.split(" ")
-        if None not in map(self.parts.__getitem__, parts) and not first[-1:].isspace():
-            return first, parts
-        merged, open_end = [first], bool(first) and first[-1].isspace()
-        if not first:
-            open_end = bool(parts)  # the text begins with a blank
+        regular, odd = _Numbers(), {}
+        rows: list[np.ndarray] = []
+        for value in texts:
+            first, *parts = (value.as_py() or "").split(" ")
+            own = np.fromiter(map(regular.__getitem__, parts), np.int64, len(parts))
+            if (not first and parts) or first[-1:].isspace() or (len(own) and own.min() < 0):
+                first, parts = self._clean(first, parts)
+                own = np.fromiter((self._number(p, regular, odd) for p in parts), np.int64, len(parts))
+            begin = odd.setdefault(first, len(odd))
+            rows.append(np.concatenate(([-1 - begin], own)))
+        n = len(regular.parts)
+        self.rows = [np.where(r < 0, n - 1 - r, r) for r in rows]
+        words = self.split(" " + " ".join(regular.parts)) if n else []
+        starts = [i for i, w in enumerate(words) if w[0] == " "]
+        if len(starts) != n:
+            raise ValueError("the pattern joins a blank to what stands before it")
+        sizes = np.diff([*starts, len(words)]).tolist() if n else []
+        for part in odd:
+            cut = self.split(part)
+            words += cut
+            sizes.append(len(cut))
+        #: Words of each part: how many, and all of them in order, as numbers of ``words``.
+        self.sizes = np.array(sizes, np.int64)
+        known: dict[str, int] = {}
+        self.of_parts = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        self.words = [w.encode("utf-8") for w in known]
+
+    @staticmethod
+    def _clean(first: str, parts: list[str]) -> tuple[str, list[str]]:
+        """The text up to its first clean blank, and the parts (with their blank where
+        that isn't the only one) from then on."""
+        merged, open_end = [first], not first or first[-1].isspace()
         for part in parts:
             if open_end:
                 merged[-1] += " " + part
@@ -277,24 +305,17 @@ class Splitter:
             open_end = not part or part[-1].isspace()
         return merged[0], merged[1:]
 
-    def words_of(self, first: str, parts: list[str]) -> Iterator[list[bytes]]:
-        yield [w.encode("utf-8") for w in self.split(first)]
-        for part in parts:
-            cut = self.parts[part]
-            yield cut if cut is not None else [w.encode("utf-8") for w in self.split(" " + part)]
+    @staticmethod
+    def _number(part: str, regular: _Numbers, odd: dict[str, int]) -> int:
+        number = -1 if " " in part else regular[part]
+        return number if number >= 0 else -1 - odd.setdefault(" " + part, len(odd))
 
-    def distinct(self, texts) -> set[bytes]:
-        """The distinct words of texts (Arrow values)."""
-        found: set[bytes] = set()
-        used: set[str] = set()
-        for value in texts:
-            first, parts = self.chunks(value.as_py() or "")
-            used.update(parts)
-            found.update(w.encode("utf-8") for w in self.split(first))
-        for part in used:
-            cut = self.parts[part]
-            found.update(cut if cut is not None else [w.encode("utf-8") for w in self.split(" " + part)])
-        return found
+    def gather(self, row: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the items of a text's parts are, in order, given each part's number of
+        items and where they start."""
+        many = sizes[row]
+        ends = np.cumsum(many)
+        return np.repeat(starts[row] - ends + many, many) + np.arange(ends[-1])
 
 
 _BETWEEN = b"\xff"  # is in no UTF-8 text
@@ -302,7 +323,7 @@ _BETWEEN = b"\xff"  # is in no UTF-8 text
 MAX_FOLD = 256
 
 
-def by_bucket(words: set[bytes], buckets: int) -> dict[int, list[bytes]]:
+def by_bucket(words: list[bytes], buckets: int) -> dict[int, list[bytes]]:
     """Words sorted within their buckets."""
     dealt: dict[int, list[bytes]] = {}
     for word in words:
@@ -328,7 +349,7 @@ def _unpack(data: bytes) -> bytes:
 
 def _block_words(pattern: str, buckets: int, text_at: int):
     def run(key, table):
-        dealt = by_bucket(Splitter(pattern).distinct(table.column(text_at)), buckets)
+        dealt = by_bucket(BlockWords(pattern, table.column(text_at)).words, buckets)
         packed = [_pack(_BETWEEN.join(same)) for same in dealt.values()]
         return pa.table({"bucket": pa.array(dealt, pa.int32()), "block": pa.array([key[0].as_py()] * len(dealt), pa.int32()), "words": pa.array(packed, pa.binary())})
 
@@ -385,53 +406,57 @@ def _block_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["block", "bucket", "ids"])
 
 
-class _Coded(dict):
-    """Part of a text -> (ids as little-endian unsigned 32-bit integers, the bytes they
-    decode to), from its words' ids. Decoding reads the ids alone."""
-
-    def __init__(self, splitter: Splitter, ids: dict[bytes, bytes], pieces: list[bytes]):
-        super().__init__()
-        self.splitter, self.ids, self.pieces = splitter, ids, pieces
-
-    def code(self, words: list[bytes]) -> tuple[bytes, bytes]:
-        packed = b"".join(map(self.ids.__getitem__, words))
-        return packed, b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
-    def __missing__(self, part: str) -> tuple[bytes, bytes]:
-        words = self.splitter.parts[part]
-        self[part] = coded = self.code(words if words is not None else [w.encode("utf-8") for w in self.splitter.split(" " + part)])
-        return coded
+def _word_ids(words: list[bytes], buckets: int, given: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and the ids of all words in order, from the
+    packed ids of the words of each bucket."""
+    dealt = by_bucket(words, buckets)
+    place = {w: i for i, w in enumerate(words)}
+    order, counts, flat = [], [], []
+    for bucket, packed in zip(given.column("bucket").to_pylist(), given.column("ids").to_pylist()):
+        same, data = dealt.pop(bucket), np.frombuffer(_unpack(packed), "<u4")
+        own = data[: len(same)].astype(np.int64)
+        if own.sum() + len(same) != len(data):
+            raise ValueError("a block's words and their ids don't match")
+        order.append(np.fromiter(map(place.__getitem__, same), np.int64, len(same)))
+        counts.append(own)
+        flat.append(data[len(same) :])
+    if dealt:
+        raise ValueError("words without ids")
+    if not order:
+        return np.zeros(0, np.int64), np.zeros(0, "<u4")
+    order, counts, flat = map(np.concatenate, (order, counts, flat))
+    sizes = np.zeros(len(words), np.int64)
+    sizes[order] = counts
+    starts = np.zeros(len(words), np.int64)
+    starts[order] = np.cumsum(counts) - counts
+    ends = np.cumsum(sizes)
+    return sizes, flat[np.repeat(starts - ends + sizes, sizes) + np.arange(len(flat))]
 
 
 def _encode_block(pieces: list[bytes], pattern: str, buckets: int, kept: list[str], text_at: int, digest: bool, schema: pa.Schema):
     def run(key, table, given):
-        splitter = Splitter(pattern)
-        texts = table.column(text_at)
-        dealt, ids = by_bucket(splitter.distinct(texts), buckets), {}
-        for bucket, packed in zip(given.column("bucket").to_pylist(), given.column("ids").to_pylist()):
-            words, data = dealt.pop(bucket), _unpack(packed)
-            ends = np.cumsum(np.frombuffer(data[: 4 * len(words)], "<u4"), dtype=np.int64) * 4 + 4 * len(words)
-            if ends[-1] != len(data):
-                raise ValueError("a block's words and their ids don't match")
-            first = 4 * len(words)
-            for word, end in zip(words, ends.tolist()):
-                ids[word], first = data[first:end], end
-        if dealt:
-            raise ValueError("words without ids")
-        coded = _Coded(splitter, ids, pieces)
+        block = BlockWords(pattern, table.column(text_at))
+        sizes, flat = _word_ids(block.words, buckets, given)
+        # from ids by word to ids by part
+        starts = np.cumsum(sizes) - sizes
+        many = sizes[block.of_parts]
+        ends = np.cumsum(many)
+        flat = flat[np.repeat(starts[block.of_parts] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+        of_part = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(block.sizes)))]
+        sizes, starts = np.diff(of_part), of_part[:-1]
+        # decoded from the ids, each distinct part once
+        binary, bounds = list(map(pieces.__getitem__, flat.tolist())), of_part.tolist()
+        texts = [b"".join(binary[i:j]) for i, j in zip(bounds, bounds[1:])]
         counts, ids_out, decoded_out = [], [], []
-        for value in texts:
-            first, parts = splitter.chunks(value.as_py() or "")
-            made = [coded.code([w.encode("utf-8") for w in splitter.split(first)]), *map(coded.__getitem__, parts)]
-            packed, decoded = b"".join([m[0] for m in made]), b"".join([m[1] for m in made])
-            counts.append(len(packed) // 4)
-            ids_out.append(hashlib.sha256(packed).hexdigest() if digest else np.frombuffer(packed, "<u4").astype("int32"))
+        for row in block.rows:
+            ids = flat[block.gather(row, sizes, starts)]
+            decoded = b"".join(map(texts.__getitem__, row.tolist()))
+            counts.append(len(ids))
+            ids_out.append(hashlib.sha256(ids).hexdigest() if digest else ids.astype("int32"))
             decoded_out.append(hashlib.sha256(decoded).hexdigest() if digest else decoded)
         columns = [table.column(1 + i) for i in range(len(kept))]
-        return pa.Table.from_arrays(
-            [*columns, pa.array(counts, pa.int64()), *(pa.array(c, schema.field(len(kept) + 1 + i).type) for i, c in enumerate((ids_out, decoded_out)))],
-            schema.names,
-        )
+        made = [pa.array(c, schema.field(len(kept) + 1 + i).type) for i, c in enumerate((ids_out, decoded_out))]
+        return pa.Table.from_arrays([*columns, pa.array(counts, pa.int64()), *made], schema.names)
 
     return run
 

@@ -501,15 +501,17 @@ def spaced_texts(n):
     return ["".join(rng.choice(marks) for _ in range(rng.randint(1, 30))) for _ in range(n)]
 
 
-def test_splitter_cuts_as_the_pattern_does():
+def test_block_words_are_cut_as_the_pattern_does():
     public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow
     import regex
 
-    splitter = bpe.Splitter(public_tokenizers.PATTERN)
-    for text in [*spaced_texts(3000), "", " ", "  ", " a", "a ", "\n a", "a \n"]:
-        first, parts = splitter.chunks(text)
-        cut = [w.decode() for same in splitter.words_of(first, parts) for w in same]
-        assert cut == regex.findall(public_tokenizers.PATTERN, text)
+    for texts in (spaced_texts(3000), ["", " ", "  ", " a", "a ", "\n a", "a \n", "a b", None], [" "], []):
+        block = bpe.BlockWords(public_tokenizers.PATTERN, pyarrow.array(texts, pyarrow.string()))
+        starts = np.cumsum(block.sizes) - block.sizes
+        for text, row in zip(texts, block.rows):
+            cut = [block.words[block.of_parts[i]].decode() for i in block.gather(row, block.sizes, starts).tolist()]
+            assert cut == regex.findall(public_tokenizers.PATTERN, text or "")
 
 
 def test_bpe_plan_folds_with_higher_order_functions(spark):
