@@ -1,22 +1,28 @@
 """Benchmark decontamination: which documents contain a test item.
 
 Contained: at least ``threshold`` of an item's distinct k-word shingles occur in
-the document. Items are partitioned by size (number of shingles, doubling bounds);
-an item's MinHash sketch is the bottom hashes of its shingles, as many as its
-partition allows to be missing, plus one: ``size - ceil(threshold * size) + 1``
-at the partition's upper bound. A document that contains the item must have one
-of them, so the search loses nothing however long the document is (a banded
-MinHash would: a 20-shingle item in a 20,000-word document has Jaccard similarity
-0.001). Candidates are verified by exact containment of the shingle strings.
+the document. The search is by MinHash sketches in size partitions:
+
+- Items are partitioned by size (number of shingles, doubling bounds). An item's sketch is
+  its bottom hashes, as many as its partition allows to be missing, plus one:
+  ``size - ceil(threshold * size) + 1`` at the partition's upper bound.
+- A partition has its own index of sketch hashes, and a bound: its items' greatest
+  sketch hash. A document's sketch for the partition is its shingle hashes up to that
+  bound (a sketch by threshold, which unlike one of fixed length estimates containment
+  however much longer the document is). It is looked up in the index.
+- A document that contains an item has one of the item's sketch hashes, so the search
+  loses nothing; candidates are verified by exact containment of the shingle strings.
 
 Words are lower-cased and split at ASCII characters that are neither letters nor
 digits. Items of fewer than k words have one shingle, all their words, looked for
 in runs of that many words; items without words match nothing.
 
-Items are the stated query set: they are collected in blocks of at most
-``block_shingles`` shingles, and each block searches all documents in one scan
-without a shuffle. Memory: one text and one block. Nulls (text) have no words;
-null item texts match nothing; repeated rows and items give repeated results.
+Items are the stated query set, dealt by a hash into blocks of about ``block_bytes`` of
+text; the driver holds one block at a time, broadcasts its index and lets it go. Each
+block searches all documents in one scan without a shuffle. Memory of a task: one text
+and one block. Nulls (text) have no words; null item texts match nothing; repeated rows
+and items give repeated results; other columns are ignored; an empty table of documents
+or items gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import cut
 from quillmesh.llm.shingles import plain_words, shingle_hashes, shingle_set
 
 
@@ -39,57 +46,70 @@ def sketch_size(n: int, threshold: float) -> int:
     return min(n, bound - math.ceil(threshold * bound - 1e-9) + 1)
 
 
-class _Block:
-    """Items of one search pass: sketches by shingle length, and shingles."""
+class Partition:
+    """The index of one size partition: sketch hashes in order, whose they are, and the
+    bound up to which documents are sketched."""
 
-    def __init__(self, items: list[tuple[int, str | None]], k: int, threshold: float):
+    def __init__(self, pairs: list[tuple[int, int]]):
+        pairs.sort()
+        self.hashes = np.array([h for h, _ in pairs], np.uint64)
+        self.owner = np.array([i for _, i in pairs], np.int64)
+        self.bound = self.hashes[-1]
+
+    def candidates(self, own: np.ndarray) -> set[int]:
+        """Items that share a sketch hash with a document of these ordered hashes."""
+        sketch = own[: np.searchsorted(own, self.bound, "right")]
+        if len(sketch) > len(self.hashes):
+            at = np.searchsorted(sketch, self.hashes)
+            return set(self.owner[sketch[np.minimum(at, len(sketch) - 1)] == self.hashes].tolist())
+        first, last = np.searchsorted(self.hashes, sketch, "left"), np.searchsorted(self.hashes, sketch, "right")
+        return {int(i) for h in np.flatnonzero(last > first).tolist() for i in self.owner[first[h] : last[h]]}
+
+
+class Block:
+    """Items of one search pass: an index per size partition, and the shingles."""
+
+    def __init__(self, items, k: int, threshold: float):
         self.threshold = threshold
-        self.shingles: list[tuple[int, int, set[bytes]]] = []
-        sketches: dict[int, list[tuple[int, int]]] = {}
+        self.shingles: list[tuple[int, set[bytes]]] = []
+        pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for item_id, text in items:
             words = plain_words(text)
             if not words:
                 continue
             length = min(k, len(words))
             distinct = np.unique(shingle_hashes(words, length))
-            for h in distinct[: sketch_size(len(distinct), threshold)].tolist():
-                sketches.setdefault(length, []).append((h, len(self.shingles)))
-            self.shingles.append((item_id, length, shingle_set(words, length)))
-        self.sketches = {}
-        for length, pairs in sketches.items():
-            pairs.sort()
-            self.sketches[length] = (np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs]))
+            of_size = pairs.setdefault((length, (len(distinct) - 1).bit_length()), [])
+            of_size += [(h, len(self.shingles)) for h in distinct[: sketch_size(len(distinct), threshold)].tolist()]
+            self.shingles.append((item_id, shingle_set(words, length)))
+        #: By shingle length: the partitions by size.
+        self.partitions: dict[int, list[Partition]] = {}
+        for (length, _), found in sorted(pairs.items()):
+            self.partitions.setdefault(length, []).append(Partition(found))
 
     def search(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """(item id, its shingles, of them in the text, share) of items contained."""
         words = plain_words(text)
         found = []
-        for length, (hashes, owner) in self.sketches.items():
+        for length, partitions in self.partitions.items():
             if len(words) < length:
                 continue
             own = np.unique(shingle_hashes(words, length))
-            first, last = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-            hit = np.flatnonzero(last > first)
-            if not len(hit):
-                continue
-            items = sorted({int(i) for h in hit.tolist() for i in owner[first[h] : last[h]]})
-            have = shingle_set(words, length)
-            for i in items:
-                item_id, _, wanted = self.shingles[i]
+            candidates = set().union(*(p.candidates(own) for p in partitions))
+            have = shingle_set(words, length) if candidates else ()
+            for i in sorted(candidates):
+                item_id, wanted = self.shingles[i]
                 shared = len(wanted & have)
                 if shared >= self.threshold * len(wanted) - 1e-9:
                     found.append((item_id, len(wanted), shared, shared / len(wanted)))
         return found
 
 
-def _search(block: _Block):
+def _search(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = block.value.search
         for batch in batches:
-            rows = [
-                (doc_id, *hit)
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1))
-                for hit in block.search(text.as_py())
-            ]
+            rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in search(text.as_py())]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             columns = list(zip(*rows)) if rows else [()] * 5
             names = ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"]
@@ -98,6 +118,17 @@ def _search(block: _Block):
     return run
 
 
+def item_blocks(items: DataFrame, item_id_col: str, item_text_col: str, block_bytes: int) -> Iterator[list]:
+    """The items with words, (id, text), in blocks of about ``block_bytes`` of text; one
+    block is fetched at a time."""
+    wanted = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t IS NOT NULL")
+    total = wanted.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
+    n = total // block_bytes + 1
+    dealt = wanted.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    for number in range(n):
+        yield dealt.where(F.col("b") == number).select("i", "t").collect()
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -107,32 +138,27 @@ def contained_items(
     item_text_col: str = "text",
     k: int = 5,
     threshold: float = 0.8,
-    block_shingles: int = 2_000_000,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) for every item
     contained in a document."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id bigint, item_id bigint, n_item_shingles bigint, n_shared bigint, containment double"
-    passes, block, held = [], [], 0
-    wanted = items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t"))
-    for row in wanted.toLocalIterator():
-        block.append((row.i, row.t))
-        held += len(row.t or "") // 4 + 1
-        if held >= block_shingles:
-            passes.append(block)
-            block, held = [], 0
-    if block or not passes:
-        passes.append(block)
     found = None
-    for part in passes:
-        one = source.mapInArrow(_search(_Block(part, k, threshold)), schema)
+    for rows in item_blocks(items, item_id_col, item_text_col, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(Block(((r.i, r.t) for r in rows), k, threshold))
+        one = source.mapInArrow(_search(sent), schema)
         found = one if found is None else found.union(one)
     return found
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options
+) -> DataFrame:
     """The rows of ``docs`` whose id contains no item (rows with a null id stay)."""
-    leaks = contained_items(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
+    leaks = cut(contained_items(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("_leak")).where("_leak IS NOT NULL").distinct())
+    if leaks.count() <= broadcast_rows:  # 16 bytes a row
+        leaks = F.broadcast(leaks)
     return docs.join(leaks, docs[id_col].cast("long") == F.col("_leak"), "left_anti")
 
 
