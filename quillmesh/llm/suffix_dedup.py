@@ -27,8 +27,10 @@ windows between them that this leaves open:
 
 Scale: a block sends each key at most twice and each suffix once, so copies meet
 as one entry per block; ranges are cut at quantiles of a bounded sample (balance
-only, results don't depend on it); texts travel as compressed blocks. The scan of
-``docs`` must give the same rows in the same order when it is repeated (any file
+only, results don't depend on it), of which no more than ``MAX_CUTS`` go to the tasks; beyond
+them each range is split by a hash of the string, so ranges stay small at any size. An
+anchor's strings meet in one task up to ``hot`` of them (some 15 MB). Texts travel as
+compressed blocks. The scan of ``docs`` must give the same rows in the same order when it is repeated (any file
 table does; else write it first), which the last step verifies.
 
 Nulls and empty texts have no bytes. Rows with null or repeated ids are rows of
@@ -366,7 +368,14 @@ def _decode_block(blobs: pa.Table, keys: pa.Table) -> list[tuple]:
     return rows
 
 
-def _runs_and_windows(length: int, cuts: list[bytes], hot: int, n_buckets: int):
+def range_of(cuts: list[bytes], parts: int, suffix: bytes) -> int:
+    """The range of the sorted order that a suffix is in, and where there are more ranges
+    than cuts, its part of that by a hash: equal suffixes always go together."""
+    place = bisect_right(cuts, suffix) * parts
+    return place + xxhash.xxh64_intdigest(suffix, 5) % parts if parts > 1 else place
+
+
+def _runs_and_windows(length: int, cuts: list[bytes], parts: int, hot: int, n_buckets: int):
     """From a block and its keys that occur twice: front-coded runs of its suffixes
     (range, run), strings of open windows packed by buckets of anchors (range null,
     run, key: the bucket) and windows of hot anchors (key, second, n)."""
@@ -397,7 +406,7 @@ def _runs_and_windows(length: int, cuts: list[bytes], hot: int, n_buckets: int):
                 joint[named] = (anchor, data[first[i] : last[i] + length], before[2] + 1 if before else 1)
         ranges: dict[int, list[bytes]] = {}
         for suffix in sorted(strings):
-            ranges.setdefault(bisect_right(cuts, suffix), []).append(suffix)
+            ranges.setdefault(range_of(cuts, parts, suffix), []).append(suffix)
         buckets: dict[int, list[tuple[int, int, bytes, int]]] = {}
         for named, (anchor, string, times) in joint.items():
             buckets.setdefault((anchor >> 2) % n_buckets, []).append((anchor, named, string, times))
@@ -575,18 +584,38 @@ def _finish(length: int, digest: bool):
     return run
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's bytes and a few of its strings, for block and range sizes."""
-    total, least = 0, []
-    for batch in batches:
-        for text in batch.column(1):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            total += len(data)
-            for at in range(0, len(data) - 200, 2048):
-                piece = data[at : at + 24]
-                least.append((xxhash.xxh32_intdigest(piece), piece))
-        least = sorted(least)[:16]
-    yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([[p for _, p in least]], pa.list_(pa.binary()))], ["bytes", "pieces"])
+def _sample(share: float):
+    """Strings at every 2,048 bytes, those of the least hashes: about ``share``."""
+    bound = int(min(1.0, share) * (1 << 32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for text in batch.column(0):
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                for at in range(0, len(data) - 200, 2048):
+                    piece = data[at : at + 24]
+                    if xxhash.xxh32_intdigest(piece) < bound:
+                        found.add(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], ["piece"])
+
+    return run
+
+
+#: Cuts between ranges that go to every task, at most; and strings sampled for them, about.
+MAX_CUTS, SAMPLE = 4096, 16_384
+
+
+def _ranges(source: DataFrame, range_bytes: int, max_cuts: int) -> tuple[list[bytes], int, int]:
+    """Cuts of the sorted order, parts of each range, and the ranges in all: about one
+    for ``range_bytes`` of text. Beyond ``max_cuts`` cuts the ranges are split by a hash."""
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = total // range_bytes + 1
+    n = min(max_cuts + 1, wanted)
+    sampled = source.select("text").mapInArrow(_sample(SAMPLE * 2048 / max(1, total)), "piece binary").distinct().collect() if n > 1 else []
+    pieces = sorted(bytes(r.piece) for r in sampled)
+    cuts = sorted({pieces[i * len(pieces) // n] for i in range(1, n)}) if pieces else []
+    return cuts, -(-wanted // n), wanted
 
 
 def remove_repeats(
@@ -598,16 +627,14 @@ def remove_repeats(
     block_bytes: int = 8 << 20,
     range_bytes: int = 12 << 20,
     hot: int = 50_000,
+    max_cuts: int = MAX_CUTS,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every row; with
     ``digest`` kept_sha256 in place of kept."""
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    measured = source.mapInArrow(_measure, "bytes bigint, pieces array<binary>").collect()
-    n_ranges = max(1, min(100_000, sum(r.bytes for r in measured) // range_bytes))
-    pieces = sorted(bytes(p) for r in measured for p in r.pieces)
-    cuts = sorted({pieces[i * len(pieces) // n_ranges] for i in range(1, n_ranges)}) if pieces else []
+    cuts, parts, n_ranges = _ranges(source, range_bytes, max_cuts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _chunks(batches, block_bytes):
@@ -620,7 +647,7 @@ def remove_repeats(
     sent = cut(
         blocks.groupBy("block")
         .cogroup(twice.groupBy("block"))
-        .applyInArrow(_runs_and_windows(length, cuts, hot, int(n_ranges)), "block bigint, range bigint, run binary, key bigint, second bigint, n bigint")
+        .applyInArrow(_runs_and_windows(length, cuts, parts, hot, n_ranges), "block bigint, range bigint, run binary, key bigint, second bigint, n bigint")
     )
     none = F.lit(None).cast("binary")
     sorted_runs = sent.where("range IS NOT NULL").select("block", "range", "run")

@@ -64,13 +64,38 @@ def test_decontamination(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
     got = decontaminate.contained_items(docs_of(spark, texts), df).collect()
     assert {(r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in got} == brute_contained(texts, items)
-    blocks = decontaminate.contained_items(docs_of(spark, texts), df, block_shingles=5).collect()
+    blocks = decontaminate.contained_items(docs_of(spark, texts), df, block_bytes=300).collect()
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, got))
-    left = {r.doc_id for r in decontaminate.decontaminate(docs_of(spark, texts), df).collect()}
-    assert left == set(range(len(texts))) - {r.doc_id for r in got}
+    for rows in (1_000_000, 0):
+        left = {r.doc_id for r in decontaminate.decontaminate(docs_of(spark, texts), df, broadcast_rows=rows).collect()}
+        assert left == set(range(len(texts))) - {r.doc_id for r in got}
     assert decontaminate.contained_items(docs_of(spark, texts), df.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_in_every_size_partition(spark):
+    """Recall by size partition, items cut to just the share that counts, in blocks of few."""
+    rng = random.Random(3)
+    items = [words(n, rng) for n in (5, 6, 7, 9, 12, 17, 25, 40, 70, 130, 260) for _ in range(4)]
+    texts = []
+    for item in items:
+        own = item.split()
+        n = max(1, len(own) - 4)
+        keep = int(np.ceil(0.8 * n - 1e-9)) + 4
+        at = rng.randrange(len(own) - keep + 1)
+        texts += [" ".join([words(400, rng), *own[at : at + keep], words(300, rng)]), " ".join([words(400, rng), *own[at : at + keep - 2], words(300, rng)])]
+    df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in decontaminate.contained_items(docs_of(spark, texts), df, block_bytes=1000).collect()}
+    want = brute_contained(texts, items)
+    assert got == want and {i for _, i, _, _ in want} == set(range(len(items)))
+    block = decontaminate.Block(enumerate(items), 5, 0.8)
+    assert len(block.partitions[5]) == 9  # 1, 2, 3-4, 5-8, 9-16, 17-32, 33-64, 65-128 and 129-256 shingles
+    # the driver holds one block of items at a time
+    held = [len(b) for b in decontaminate.item_blocks(df, "item_id", "text", 2000)]
+    assert sum(held) == len(items) and len(held) > 5 and max(held) < len(items) // 2
+    none = docs_of(spark, [])
+    assert decontaminate.contained_items(none, df).collect() == [] and decontaminate.decontaminate(none, df).collect() == []
+
+
 @pytest.mark.parametrize("n", range(1, 70))
 def test_sketch_never_misses(n):
     missing = n - int(np.ceil(0.8 * n - 1e-9))
@@ -567,15 +592,28 @@ def passages():
     return out + [text(k) + base[7][k : k + 260] + text(50) for k in range(0, 200, 9)]
 
 
-@pytest.mark.parametrize(("length", "block_bytes", "hot"), [(200, 8 << 20, 50_000), (200, 3000, 1), (120, 5000, 3)])
-def test_suffix_dedup(spark, tmp_path, length, block_bytes, hot):
+@pytest.mark.parametrize(
+    ("length", "block_bytes", "hot", "range_bytes", "max_cuts"),
+    [(200, 8 << 20, 50_000, 4000, 4096), (200, 3000, 1, 40, 3), (120, 5000, 3, 400, 0)],
+)
+def test_suffix_dedup(spark, tmp_path, length, block_bytes, hot, range_bytes, max_cuts):
     texts = passages()
     df = stored(spark, docs_of(spark, texts).repartition(3), tmp_path)
-    got = suffix_dedup.remove_repeats(df, length=length, block_bytes=block_bytes, range_bytes=4000, hot=hot).collect()
+    got = suffix_dedup.remove_repeats(df, length=length, block_bytes=block_bytes, range_bytes=range_bytes, hot=hot, max_cuts=max_cuts).collect()
     want = brute.remove_repeats(texts, length)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == dict(enumerate(want))
 
 
+def test_suffix_ranges_have_no_cap():
+    cuts = [b"b", b"m"]
+    strings = [bytes([c]) * 30 + bytes([d]) for c in range(97, 123) for d in range(50)]
+    places = {s: suffix_dedup.range_of(cuts, 1000, s) for s in strings}
+    assert len(set(places.values())) > 900 and all(0 <= p < 3000 for p in places.values())
+    # equal strings meet, and ranges follow the sorted order
+    assert all(p == suffix_dedup.range_of(cuts, 1000, bytes(bytearray(s))) for s, p in places.items())
+    assert [suffix_dedup.range_of(cuts, 1, s) for s in sorted(strings)] == sorted(suffix_dedup.range_of(cuts, 1, s) for s in strings)
+
+
 def test_suffix_dedup_of_nothing(spark, tmp_path):
     df = stored(spark, docs_of(spark, []), tmp_path)
     assert suffix_dedup.remove_repeats(df).count() == 0
