@@ -1,6 +1,7 @@
 """Every operator on small fixtures: brute force, edge cases, held-out accuracy."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -135,36 +136,95 @@ URLS = [
 
 def test_given_url_rules(spark):
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id long, url string, host string")
-    none = spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
+    none = spark.createDataFrame([], url_filter.RULES)
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, none).collect()}
     for i, u in enumerate(URLS):
         host, path, rule, verdict = brute_url(u)
         assert got[i] == (host, path, rule, verdict or "allow"), u
 
 
-def test_mined_url_rules(spark):
-    rows = [(f"http://www.casino-win.net/p{i}/{i}", True) for i in range(40)] + [(f"http://good{i % 7}.net/win/{i}", False) for i in range(60)]
-    labelled = spark.createDataFrame([*rows, (None, True), ("http://x.net/", None)], "url string, bad boolean")
-    rules = url_filter.mine_rules(labelled, min_support=0.05)
-    mined = {(tuple(r.tokens), r.verdict): r.confidence for r in rules.collect()}
-    assert mined[(("w:casino",), "block")] == 1.0
-    assert not any(len(t) > 1 and "w:casino" in t for t, _ in mined)
-    support = Counter()
-    for url, bad in rows:
-        host, path, *_ = brute_url(url)
-        support["w:casino" in host.replace("casino", "w:casino"), bad] += 1
-    assert support[True, True] == 40 and not support[True, False]
-    pages = spark.createDataFrame([(1, "http://casino-new.net/9"), (2, "http://good3.net/win/8"), (3, "http://casino-x.org/"), (4, "http://new.net/")], "page_id long, url string")
+def brute_tokens(url):
+    host, path, *_ = brute_url(url)
+    labels = host.split(".")
+    found = {"h:" + x for x in labels} | {"w:" + y for x in labels if "-" in x for y in x.split("-")}
+    found |= {"p:" + re.sub(r"\d+", "0", x.lower()) for x in re.split(r"[/.\-_]", path)}
+    found |= {"q:" + x for x in re.findall(r"[?&]([^=&#]+)=", url or "")}
+    return {x for x in found if len(x) > 2}
+
+
+def brute_rules(labelled, min_support, min_lift, z):
+    """Every set of tokens of every labelled URL, counted."""
+    rows = [(brute_tokens(u), "block" if bad else "allow") for u, bad in labelled if u is not None and bad is not None]
+    share = {v: sum(w == v for _, w in rows) / len(rows) for v in ("block", "allow")}
+    counts = Counter()
+    for own, v in rows:
+        for n in range(1, len(own) + 1):
+            for some in itertools.combinations(sorted(own), n):
+                counts[some, v] += 1
+    rules = {}
+    for (some, v), hits in counts.items():
+        n = hits + counts[some, "allow" if v == "block" else "block"]
+        p = hits / n
+        bound = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        if hits >= min_support * len(rows) - 1e-9 and p >= max(0.7, min_lift * share[v]) - 1e-12 and bound > share[v]:
+            rules[some, v] = bound / share[v]
+    kept = {
+        (some, v): s for (some, v), s in rules.items()
+        if not any(v == w and set(part) < set(some) and rules[part, w] >= s - 1e-12 for part, w in rules)
+    }
+    weakest = min((s for (_, v), s in kept.items() if v == "block"), default=None)
+    return {k: s for k, s in kept.items() if weakest is not None and (k[1] == "block" or s >= weakest)}
+
+
+def brute_verdict(url, rules):
+    fired = [(s, v == "allow") for (some, v), s in rules.items() if set(some) <= brute_tokens(url)]
+    return ("allow" if max(fired)[1] else "block") if fired else None
+
+
+def url_tables(seed):
+    rng = random.Random(seed)
+    hosts = ["www.casino-win.net", "m.casino-win.net"] * seed * 2 + ["good.net", "play-good.net", "news.com", "www.x-y.com"]
+
+    def one():
+        url = f"http://{rng.choice(hosts)}/{rng.choice(['win', 'read', 'Win'])}/{rng.choice(['a', 'b_c', '7'])}?{rng.choice(['q=1', 'r=2', ''])}"
+        return url, rng.random() < (0.9 if "casino" in url and "read" not in url else 0.1)
+
+    return [one() for _ in range(300)], [one()[0] for _ in range(100)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mined_url_rules_equal_brute_force(spark, seed):
+    labelled, urls = url_tables(seed)
+    table = spark.createDataFrame([*labelled, (None, True), ("http://x.net/", None)], "url string, bad boolean")
+    rules = url_filter.mine_rules(table, min_support=0.02, sureness=2.0)
+    want = brute_rules(labelled, 0.02, 1.2, 2.0)
+    assert {(tuple(r.tokens), r.verdict): round(r.strength, 9) for r in rules.collect()} == {k: round(s, 9) for k, s in want.items()}
+    assert {v for _, v in want} == {"block", "allow"}
+    rows = [*urls, *URLS, urls[0], "http://casino-win.net/" + "long/" * 20_000]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
     got = {r.page_id: (r.verdict, r.method) for r in url_filter.judge_urls(pages, rules).collect()}
-    assert got[1] == ("block", "mined") and got[2][0] == "allow" and got[3] == ("allow", "given") and got[4][0] == "allow"
+    for i, u in enumerate(rows):
+        given, mined = brute_url(u)[3], brute_verdict(u, want)
+        assert got[i] == ((given, "given") if given else (mined, "mined") if mined else ("allow", "default")), u
+    assert sum(m == ("block", "mined") for m in got.values()) > 10
+
+
+def test_url_labels_without_signal_give_no_rules(spark):
+    """Pure chance makes combinations of confidence 1: none is taken for a rule."""
+    rng = random.Random(4)
+    labelled = [(f"http://{words(1, rng)}.net/{words(1, rng)}/{words(1, rng)}?{rng.choice('abc')}=1", rng.random() < 0.25) for _ in range(500)]
+    table = spark.createDataFrame(labelled, "url string, bad boolean")
+    assert url_filter.mine_rules(table).collect() == []
+    assert url_filter.mine_rules(table.where("bad")).collect() == [] and url_filter.mine_rules(table.limit(0)).collect() == []
+    pages = spark.createDataFrame([], "page_id long, url string, verdict string")
+    assert url_filter.judge_urls(pages, url_filter.mine_rules(table)).collect() == []
 
 
 def test_mined_url_rules_of_four_tokens(spark):
-    parts = ["ab", "cd", "ef", "gh"]
-    rows = [("http://x.net/" + "/".join(parts), True)] * 30
-    rows += [("http://x.net/" + "/".join(p for p in parts if p != gone), False) for gone in parts for _ in range(30)]
-    labelled = spark.createDataFrame(rows, "url string, bad boolean")
-    rules = url_filter.mine_rules(labelled, min_support=0.05)
+    """Tokens that only together tell: no shorter rule is as strong."""
+    rows = [("http://x.net/ab/cd/ef/gh", True)] * 30
+    rows += [("http://x.net/" + "/".join(p for p in ("ab", "cd", "ef", "gh") if p != gone), False) for gone in ("ab", "cd", "ef", "gh") for _ in range(30)]
+    rules = url_filter.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), min_support=0.05)
     mined = {(tuple(r.tokens), r.verdict) for r in rules.collect()}
     assert {t for t, v in mined if v == "block"} == {("p:ab", "p:cd", "p:ef", "p:gh")}
     pages = spark.createDataFrame([(1, rows[0][0]), (2, rows[30][0])], "page_id long, url string")
