@@ -30,7 +30,7 @@ def split_blocks(body: str) -> list[str]:
             out.append("\n".join(held))
             held.clear()
 
-    for line in body.split("\n"):
+    for line in body.removesuffix("\n").split("\n"):
         line = line.removesuffix("\r")
         mark = next((f for f in _FENCES if line.lstrip().startswith(f)), None)
         if fence:
@@ -64,17 +64,20 @@ def _cut_line(line: str, limit: int) -> list[str]:
 
 
 def hard_split(block: str, limit: int = MAX_BYTES) -> list[str]:
-    """A block over the limit by whole lines, a line over it by characters."""
-    pieces, held = [], ""
+    """A block over the limit by whole lines, a line over it by characters: the pieces
+    of such a line stay by themselves."""
+    pieces: list[str] = []
+    held = ""
     for line in block.split("\n"):
         joined = f"{held}\n{line}" if held else line
         if size(joined) <= limit:
             held = joined
             continue
-        if held:
-            pieces.append(held)
-        *full, held = _cut_line(line, limit) or [""]
-        pieces += full
+        pieces += [held] if held else []
+        held = line
+        if size(line) > limit:
+            pieces += _cut_line(line, limit)
+            held = ""
     return pieces + [held] if held else pieces
 
 

@@ -11,85 +11,127 @@ from quillmesh.functions.embedders import HashEmbedder
 from quillmesh.operators import hybrid, notes, vector
 from quillmesh.plans.embed_run import run_embed
 from quillmesh.plans.index_run import run_index, save_postings
+from tests.conftest import write_notes
 
-CE = "blogs/context-engineering"
+SOUP = "recipes/leek soup"
 
 
-def test_read_only(spark, vault, vault_dir):
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    """One indexed vault for the tests that only read."""
+    root = tmp_path_factory.mktemp("garden")
+    write_notes(root)
+    vault = Catalog(spark, str(tmp_path_factory.mktemp("home"))).add("garden", str(root))
+    run_index(vault)
+    return vault
+
+
+def test_first_run_and_schema_discovery(vault):
     stats = run_index(vault)
-    assert (stats.scanned, stats.added, stats.edges, stats.unresolved) == (9, 9, 15, 0)
-    again = run_index(vault)
-    assert (again.unchanged, again.added, again.updated, again.removed) == (9, 0, 0, 0)
-    assert vault.ontology()["types"] == {"blog": 3, "journal": 2, "org": 1, "project": 1, "repo": 1}
-    assert vault.ontology()["edge_types"] == {"about": 1, "derives_from": 3, "for": 3, "mentions": 6, "merged_from": 2}
-    note = vault.get(CE + ".md")
-    assert note["frontmatter"]["status"] == "draft" and note["frontmatter"]["created"] == "2026-05-10" and "body" not in note
-    assert "prompt" in vault.get(CE, body=True)["body"]
-    assert [r.to_id for r in vault.links(CE, "mentions").collect()] == [
-        "projects/prism", "repos/toolbox", "blogs/context-development-lifecycle", "blogs/context-platform-engineering",
-    ]
-    back = [(r.from_id, r.from_type) for r in vault.backlinks("projects/prism").collect()]
-    assert ("blogs/context-platform-engineering", "blog") in back and ("Journal/2026, June 01", "journal") in back
-    assert vault.links("nope").collect() == []
-    with pytest.raises(NoteNotFound):
-        vault.get("nope")
-    rows = vault.search("context engineering", "blog", 3).collect()
-    assert rows[0].id == CE and rows[0].score > 0 and len(rows) == 3
+    assert (stats.scanned, stats.added, stats.edges, stats.unresolved) == (11, 11, 14, 1)
+    found = vault.ontology()
+    assert found["types"] == {"bed": 2, "diary": 2, "list": 1, "person": 1, "plant": 2, "recipe": 2}
+    assert found["edge_types"] == {"after": 1, "grows_in": 3, "likes": 2, "next_to": 1, "uses": 3, "variant_of": 1, "visits": 1, "wants": 2}
+
+
+def test_lookups(vault):
+    run_index(vault)
+    soup = vault.get(SOUP + ".md")
+    assert soup["frontmatter"] == {"type": "recipe", "serves": 4, "rated": "fair", "after": "[[diary/second week]]", "uses": ["[[plants/leek]]", "[[plants/potato.md]]"]}
+    assert "body" not in soup and "blend" in vault.get(SOUP, body=True)["body"]
+    assert {i: vault.get(i)["title"] for i in ("beds/south", "loose", "plants/leek")} == {"beds/south": "south", "loose": "loose", "plants/leek": "Leek"}
+    for unknown in ("plants/garlic", "beds", ""):
+        with pytest.raises(NoteNotFound):
+            vault.get(unknown)
+    assert vault.links("plants/garlic").collect() == []
+
+
+def test_neighbours(vault):
+    run_index(vault)
+    out = [(r.edge_type, r.to_id, r.to_alias, r.resolved, r.position) for r in vault.links("people/ida, cook").collect()]
+    assert out == [("likes", "recipes/fish pie", None, True, 0), ("likes", SOUP, "the soup", True, 1)]
+    assert [(r.to_id, r.resolved) for r in vault.links("seeds", "wants").collect()] == [("plants/garlic", False), ("plants/leek", True)]
+    assert vault.links("seeds", "uses").collect() == []
+    back = {(r.edge_type, r.from_id, r.from_type, r.from_title) for r in vault.backlinks("plants/potato").collect()}
+    assert back == {("uses", "recipes/fish pie", "recipe", "Fish pie"), ("uses", SOUP, "recipe", "Leek and potato soup")}
+    assert {r.from_id for r in vault.backlinks("beds/north").collect()} == {"beds/south", "diary/spring, first week", "plants/leek", "plants/potato"}
+
+
+def test_full_text_and_its_stored_index(vault, vault_dir):
+    run_index(vault)
+    rows = vault.search("leek soup", "recipe", 5).collect()
+    assert [r.id for r in rows] == [SOUP] and rows[0].score > 0
+    rows = vault.search("leek", limit=3).collect()
+    assert len(rows) == 3 and rows[0].id == "plants/leek" and [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
     # the stored inverted index ranks the same, and is left when notes change
     save_postings(vault)
-    assert vault.has_postings() and [(r.id, round(r.score, 9)) for r in vault.search("context engineering", "blog", 3).collect()] == [
-        (r.id, round(r.score, 9)) for r in rows
-    ]
-    plan = vault.search("context")._jdf.queryExecution().executedPlan().toString()
+    assert vault.has_postings()
+    assert [(r.id, round(r.score, 9)) for r in vault.search("leek", limit=3).collect()] == [(r.id, round(r.score, 9)) for r in rows]
+    plan = vault.search("leek")._jdf.queryExecution().executedPlan().toString()
     assert "body" not in plan and "In(term" in plan or "EqualTo(term" in plan
-    (vault_dir / "new.md").write_text("# New\n\ncontext")
+    (vault_dir / "chard.md").write_text("# Chard\n\nleek")
     run_index(vault)
-    assert not vault.has_postings() and vault.search("new").first().id == "new"
+    assert not vault.has_postings() and vault.search("chard").first().id == "chard"
     run_index(vault, postings=True)
-    assert vault.has_postings() and vault.search("new").first().id == "new"
-
-
-def test_cypher(vault):
-    run_index(vault)
-    q = vault.query
-    assert q("MATCH (b:blog)-[:merged_from]->(x:Note) RETURN b.id, x.id").count() == 2
-    assert q("MATCH (b:BLOG)-[:Mentions]->(r) RETURN b.title, r.title").count() == 5
-    assert q("MATCH (b:blog)-[:mentions]->(p:project)-[:for]->(o:org {id: $o}) RETURN b.id", {"o": "orgs/acme-labs"}).count() == 2
-    counts = q("MATCH (b:blog)-[r:mentions]->(m) RETURN m.id, count(r) AS c ORDER BY c DESC, m.id LIMIT 2").collect()
-    assert [(r["m.id"], r.c) for r in counts] == [("projects/prism", 2), ("blogs/context-development-lifecycle", 1)]
+    assert vault.has_postings() and vault.search("chard").first().id == "chard"
+
+
+CYPHER = [
+    ("MATCH (r:recipe)-[:uses]->(p:plant) RETURN r.id, p.id", 3),
+    ("MATCH (r:RECIPE)-[:Uses]->(p) RETURN r.title, p.title", 3),
+    ("MATCH (r:recipe)-[:uses]->(p)-[:grows_in]->(b:bed {id: 'beds/south'}) RETURN r.id, b.id", 2),
+    ("MATCH (a)-[r]->(b) RETURN DISTINCT type(r) AS t ORDER BY t", 8),
+    ("MATCH (b:bed)<-[g:grows_in]-(p) WHERE p.type IN ['plant', 'tree'] RETURN p.id, g.position", 3),
+    ("MATCH (n) WHERE n.type IS NULL RETURN n.id", 1),
+    ("MATCH (n) WHERE n.id STARTS WITH 'beds/' AND NOT n.title CONTAINS 'North' RETURN n.id", 1),
+    ("MATCH (n:plant) RETURN n.id SKIP 1", 1),
+    ("MATCH (x:recipe)-[*1..2]->(y) RETURN y.id", 13),
+    ("MATCH (n:nothing) RETURN n.id", 0),
+    ("MATCH (a:recipe)-[:uses]->(p), (s:list)-[:wants]->(p) RETURN a.id, s.id", 1),
+    ("MATCH (p:plant)-[:grows_in]->(b) RETURN p.id, collect(b.id) AS beds", 2),
+]
+
+
+@pytest.mark.parametrize(("text", "rows"), CYPHER)
+def test_cypher_counts(indexed, text, rows):
+    assert indexed.query(text).count() == rows
+
+
+def test_cypher_values_and_errors(indexed):
+    q = indexed.query
+    found = q("MATCH (x)-[r]->(b:bed) RETURN b.id, count(r) AS c ORDER BY c DESC, b.id LIMIT 1").collect()
+    assert [(r["b.id"], r.c) for r in found] == [("beds/north", 4)]
+    assert q("MATCH (r:recipe)-[:uses]->(p {id: $plant}) RETURN r.id", {"plant": "plants/leek"}).first()[0] == SOUP
     assert q("MATCH (n) RETURN n").columns == ["n.id", "n.path", "n.type", "n.title"]
-    assert q("MATCH (a)-[r]->(b) RETURN DISTINCT type(r) AS t ORDER BY t").count() == 5
-    assert q("MATCH (p:project)<-[r:mentions]-(x) WHERE x.type IN ['blog', 'journal'] RETURN x.id, r.position").count() == 3
-    assert q("MATCH (n) WHERE n.type IS NULL RETURN n.id").first()[0] == "inbox/scratch"
-    assert q("MATCH (n) WHERE n.id STARTS WITH 'blogs/' AND NOT n.title CONTAINS 'life' RETURN n.id SKIP 1").count() == 1
-    assert q("MATCH (a:repo)-[*1..2]->(b) RETURN b.id").count() == 10
-    assert q("MATCH (n:nothing) RETURN n.id").count() == 0
-    assert q("MATCH (a:blog)-[:for]->(o), (p:project)-[:for]->(o) RETURN a.id, p.id").count() == 2
-    assert q("MATCH (a:blog)-[:mentions]->(b:blog) RETURN a.id, collect(b.id) AS all").count() == 1
-    plan = q("MATCH (b:blog)-[:mentions]->(r) RETURN b.id, r.id")._jdf.queryExecution().executedPlan().toString()
+    plan = q("MATCH (r:recipe)-[:uses]->(p) RETURN r.id, p.id")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "body" not in plan
     for bad in ("MATCH (n RETURN n", "MATCH (n) RETURN n.body", "MATCH (n) RETURN m.id", "MATCH (n) RETURN n.id LIMIT x", "RETURN 1"):
         with pytest.raises(CypherError):
             q(bad)
 
 
-def test_incremental(spark, vault, vault_dir):
+def test_incremental_runs(vault, vault_dir):
     run_index(vault)
-    path = vault_dir / "Journal" / "2026, June 04.md"
-    path.write_text("---\ntype: journal\n---\nA quixotic plan.\n")
+    again = run_index(vault)
+    assert (again.unchanged, again.added, again.updated, again.removed) == (11, 0, 0, 0)
+    path = vault_dir / "diary" / "second week.md"
+    os.utime(path, (5, 5))
+    assert run_index(vault).unchanged == 11  # touched, but the same
+    path.write_text("---\ntype: diary\nvisits: ['[[beds/north]]', '[[beds/south]]']\n---\nSowed marrowfat peas.\n")
+    (vault_dir / "plants" / "garlic.md").write_text("---\ntype: plant\n---\n")
     stats = run_index(vault)
-    assert (stats.updated, stats.unchanged) == (1, 8)
-    assert vault.search("quixotic").first().id == "Journal/2026, June 04"
-    os.utime(path, (1, 1))
-    assert run_index(vault).unchanged == 9
-    (vault_dir / "projects" / "prism.md").unlink()
+    assert (stats.added, stats.updated, stats.unchanged, stats.removed, stats.edges) == (1, 1, 10, 0, 16)
+    assert vault.search("marrowfat").first().id == "diary/second week" and vault.search("rain").count() == 0
+    # links are looked up again when their source changes, or in a full run
+    assert not vault.links("seeds", "wants").first().resolved
+    assert run_index(vault, full=True).unresolved == 0 and vault.links("seeds", "wants").first().resolved
+    (vault_dir / "beds" / "north.md").unlink()
     stats = run_index(vault)
-    assert (stats.removed, stats.edges, stats.unresolved) == (1, 14, 0)
+    assert (stats.removed, stats.edges) == (1, 16)
     stats = run_index(vault, full=True)
-    assert (stats.added, stats.removed, stats.unresolved) == (8, 0, 3)
-    bad = vault_dir / "bad.md"
-    bad.write_bytes(b"\xff\xfe")
-    assert run_index(vault).scanned == 9 and vault.notes().count() == 8
+    assert (stats.added, stats.removed, stats.unresolved) == (11, 0, 5)
+    (vault_dir / "broken.md").write_bytes(b"\xff\xfe")
+    assert run_index(vault).scanned == 12 and vault.notes().count() == 11
 
 
 def test_empty_vault(spark, tmp_path):
@@ -98,31 +140,33 @@ def test_empty_vault(spark, tmp_path):
     assert run_index(v).scanned == 0 and v.search("x").count() == 0
 
 
-def test_embeddings(vault, vault_dir):
+def test_embedding_runs(vault, vault_dir):
     model = HashEmbedder()
     run_index(vault)
     with pytest.raises(EmbeddingsMissing):
-        vault.similar("x")
-    stats = run_embed(vault, model)
-    assert (stats.scanned, stats.embedded) == (9, 9) and stats.total_chunks >= 9
-    again = run_embed(vault, model)
-    assert (again.embedded, again.chunks_written) == (0, 0)
-    (vault_dir / "Journal" / "2026, June 04.md").write_text("---\ntype: journal\n---\nA quixotic windmill.\n")
+        vault.similar("peas")
+    first = run_embed(vault, model)
+    assert (first.scanned, first.embedded) == (11, 11) and first.total_chunks == vault.embeddings().count() == 11
+    assert (run_embed(vault, model).embedded, run_embed(vault, model).chunks_written) == (0, 0)
+    (vault_dir / "diary" / "second week.md").write_text("---\ntype: diary\n---\nSowed marrowfat peas.\n")
+    (vault_dir / "loose.md").unlink()
     run_index(vault)
     stats = run_embed(vault, model)
-    assert (stats.embedded, stats.unchanged) == (1, 8)
-    top = vault.similar("quixotic windmill", embedder=model).first()
-    assert top.id == "Journal/2026, June 04" and top.type == "journal" and top.snippet == "A quixotic windmill."
-    typed = vault.similar("context", "blog", embedder=model).collect()
-    assert typed and {r.type for r in typed} == {"blog"}
-    best = vault.hybrid("context engineering", limit=3, embedder=model).collect()
-    assert best[0].id == CE and best[0].bm25_score > 0 and len(best) == 3
-    (vault_dir / "inbox" / "scratch.md").unlink()
-    run_index(vault)
-    stats = run_embed(vault, model)
-    assert (stats.removed, stats.scanned) == (1, 8)
+    assert (stats.scanned, stats.embedded, stats.unchanged, stats.removed) == (10, 1, 9, 1)
     model.model_id = "another"
-    assert run_embed(vault, model).embedded == 8
+    assert run_embed(vault, model).embedded == 10
+
+
+def test_similar_and_hybrid(vault):
+    model = HashEmbedder()
+    run_index(vault)
+    run_embed(vault, model)
+    top = vault.similar("sandy soil dries", embedder=model).first()
+    assert (top.id, top.type, top.snippet) == ("beds/south", "bed", "Sandy soil, dries out.")
+    typed = vault.similar("leek", "recipe", embedder=model).collect()
+    assert typed and {r.type for r in typed} == {"recipe"}
+    best = vault.hybrid("leek soup", limit=4, embedder=model).collect()
+    assert best[0].id == SOUP and best[0].bm25_score > 0 and len(best) == 4
 
 
 def test_rank_fusion(spark):
@@ -177,15 +221,15 @@ def test_command_line(spark, tmp_path, vault_dir, capsys):
     assert run("types")[0] == 3
     assert run("vault", "add", "v", str(vault_dir))[0] == 0
     assert run("types")[0] == 5 and run("get", "x")[0] == 5
-    assert run("index")[1]["added"] == 9
+    assert run("index")[1]["added"] == 11
     assert run("get", "x") == (4, {"error": {"code": "note_not_found", "message": "no note x"}})
     assert run("types", "--vault", "other")[0] == 3
     assert run("similar", "x")[0] == 6 and run("search", "x", "--hybrid")[0] == 6
-    status, found = run("query", "MATCH (b:blog {id: $i}) RETURN b.title AS t", "--param", f"i={CE}")
-    assert status == 0 and found == {"columns": ["t"], "rows": [{"t": "Context engineering"}]}
+    status, found = run("query", "MATCH (r:recipe {id: $i}) RETURN r.title AS t", "--param", f"i={SOUP}")
+    assert status == 0 and found == {"columns": ["t"], "rows": [{"t": "Leek and potato soup"}]}
     assert run("query", "MATCH (")[0] == 1
-    assert run("edges")[1][0] == {"edge_type": "about", "count": 1}
-    assert run("backlinks", CE)[1][0]["from_title"] == "A repository"
+    assert run("edges")[1][0] == {"edge_type": "after", "count": 1}
+    assert {r["from_title"] for r in run("backlinks", SOUP)[1]} == {"Fish pie", "ida, cook"}
     assert run("vault", "list")[1][0]["default"] is True
     assert run("vault", "remove", "v")[0] == 0 and run("vault", "list")[1] == []
 

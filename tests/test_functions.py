@@ -95,6 +95,14 @@ def test_chunker_bounds():
     assert chunker.split_blocks("a\n# h\nb\n\nc") == ["a", "# h\nb", "c"]
 
 
+def test_hard_split_keeps_pieces_of_a_long_line_apart():
+    sizes = [chunker.size(p) for p in chunker.hard_split("a" * 4000 + "\nbbb")]
+    assert sizes == [3200, 800, 3]
+    assert chunker.hard_split("x\n" + "y" * 12 + "\nz\nw", 5) == ["x", "yyyyy", "yyyyy", "yy", "z\nw"]
+    assert chunker.hard_split("éé\n" + "é" * 4, 5) == ["éé", "éé", "éé"]
+    assert chunker.split_blocks("```\nopen\n\n") == ["```\nopen\n"]
+
+
 def test_snippet():
     cut = snippet("é" * 300)
     assert cut.endswith("…") and len(cut[:-1].encode()) <= 280
