@@ -55,10 +55,11 @@ def run_embed(vault: Vault, embedder: Embedder | None = None, full: bool = False
             owners = status.where("status <> 'same'").select(F.col("id").alias("note_id"))
             stamp = int(time.time() * 1000)
             fresh = embed_chunks(chunk_notes(notes.join(todo, "id", "left_semi")), embedder, stamp)
-            table = fresh if full else ops.replace_owned(before, owners, fresh, "note_id")
-            store.commit({"embeddings": table.select(*EMBEDDINGS.names)})
+            parts = None if full else store.touched(owners)
+            table = fresh if full else ops.replace_owned(store.read("embeddings", EMBEDDINGS, parts), owners, fresh, "note_id")
+            store.commit({"embeddings": table.select(*EMBEDDINGS.names)}, parts)
             write_json(vault.embed_meta_path, meta)
-            written = store.read("embeddings", EMBEDDINGS).where(F.col("embedded_at_ms") == stamp).count()
+            written = store.read("embeddings", EMBEDDINGS, parts).where(F.col("embedded_at_ms") == stamp).count()
         total = store.read("embeddings", EMBEDDINGS).count()
     finally:
         status.unpersist()

@@ -57,7 +57,8 @@ def candidates(files: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def run_index(vault: Vault, full: bool = False, re_resolve: bool = False, postings: bool = False) -> IndexStats:
-    """Bring the tables up to date with the folder; both become current at once.
+    """Bring the tables up to date with the folder; both become current at once. Only
+    parts of the tables that have a changed note are read whole and written.
 
     Links are resolved when their source changes; with ``re_resolve`` all links are
     resolved against the new set of ids, with ``postings`` the inverted index is
@@ -71,21 +72,24 @@ def run_index(vault: Vault, full: bool = False, re_resolve: bool = False, postin
     parsed = read_and_parse(candidates(files, prior), vault.source).persist()
     status = plan_index(files, prior, parsed).persist()
     try:
-        now = F.lit(int(time.time() * 1000))
-        rows = parsed.withColumn("indexed_at_ms", now).select(*NOTES.names)
-        gone = status.where("status = 'removed'").select("id")
-        notes = ops.upsert(ops.delete_keys(prior, gone, "id"), rows, "id")
-        owners = status.where("status IN ('added', 'updated', 'removed')").select(F.col("id").alias("from_id"))
-        changed = parsed.join(status.where("status IN ('added', 'updated')"), "id", "left_semi")
-        live = files.select(note_id(F.col("rel")).alias("id"))
-        fresh = ops.resolve_links(ops.explode_links(changed), live)
-        old = spark.createDataFrame([], EDGES) if full else store.read("edges", EDGES)
-        edges = ops.replace_owned(old, owners, fresh, "from_id")
-        if re_resolve:
-            edges = ops.resolve_links(edges.select("from_id", "edge_type", "to_raw", "to_alias", "position"), live)
         n = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
-        if n.get("added") or n.get("updated") or n.get("touched") or n.get("removed") or re_resolve or not store.exists("notes"):
-            store.commit({"notes": notes, "edges": edges.select(*EDGES.names)})
+        moved = status.where("status IN ('added', 'updated', 'touched', 'removed')").select("id")
+        parts = None if full or re_resolve else store.touched(moved)
+        if parts is None or parts or not store.exists("notes"):
+            now = F.lit(int(time.time() * 1000))
+            rows = parsed.withColumn("indexed_at_ms", now).select(*NOTES.names)
+            gone = status.where("status = 'removed'").select("id")
+            old_notes = prior if full else store.read("notes", NOTES, parts)
+            notes = ops.upsert(ops.delete_keys(old_notes, gone, "id"), rows, "id")
+            owners = status.where("status IN ('added', 'updated', 'removed')").select(F.col("id").alias("from_id"))
+            changed = parsed.join(status.where("status IN ('added', 'updated')"), "id", "left_semi")
+            live = files.select(note_id(F.col("rel")).alias("id"))
+            fresh = ops.resolve_links(ops.explode_links(changed), live)
+            old_edges = spark.createDataFrame([], EDGES) if full else store.read("edges", EDGES, parts)
+            edges = ops.replace_owned(old_edges, owners, fresh, "from_id")
+            if re_resolve:
+                edges = ops.resolve_links(edges.select("from_id", "edge_type", "to_raw", "to_alias", "position"), live)
+            store.commit({"notes": notes, "edges": edges.select(*EDGES.names)}, parts)
             save_ontology(vault)
         if postings and not vault.has_postings():
             save_postings(vault)

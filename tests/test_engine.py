@@ -1,5 +1,6 @@
 import json
 import os
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,25 @@ def test_empty_vault(spark, tmp_path):
     assert run_index(v).scanned == 0 and v.search("x").count() == 0
 
 
+def test_versions_share_parts_and_outlive_commits(vault, vault_dir):
+    run_index(vault)
+    before, old = vault.notes(), vault.store.current()
+    (vault_dir / "loose.md").write_text("# Now with a title\n")
+    run_index(vault)
+    now = vault.store.current()
+    changed = vault.store.touched(vault.notes().where("id = 'loose'").select("id"))
+    assert [int(p) for p in now["notes"] if now["notes"][p] != old["notes"].get(p)] == changed
+    # opened before the commit, read after it
+    assert {r.id: r.title for r in before.collect()}["loose"] == "loose" and vault.get("loose")["title"] == "Now with a title"
+    for i in range(4):
+        (vault_dir / "loose.md").write_text(f"# Title {i}\n")
+        run_index(vault)
+    # parts of versions that are no longer kept are gone, those of the first run that nothing replaced aren't
+    folders = {p.name for p in pathlib.Path(vault.store.root).iterdir() if p.name.startswith("notes-")}
+    assert len(folders) == 4 and vault.notes().count() == 11
+    assert [int(p) for p in vault.store.current()["notes"] if vault.store.current()["notes"][p] != old["notes"][p]] == changed
+
+
 def test_embedding_runs(vault, vault_dir):
     model = HashEmbedder()
     run_index(vault)
