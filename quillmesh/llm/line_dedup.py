@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut
+from quillmesh.llm.common import cut, deal_of
 
 #: ASCII white space other than the line feed.
 BLANKS = " \t\r\x0b\x0c"
@@ -104,7 +104,7 @@ def drop_boilerplate(
         joined = docs.join(F.broadcast(found), same, "left")
     else:
         spread = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        dealt = docs.withColumn("_deal", F.floor(F.rand(17) * salts).cast("int"))
+        dealt = docs.withColumn("_deal", deal_of(docs, salts))
         joined = dealt.join(spread, same & (F.col("_deal") == F.col("_salt")), "left").drop("_deal")
     lines = F.split(text_col, "\n")
     kept = F.filter(lines, lambda x: (_key(x) == "") | ~F.array_contains(F.col("_lines"), _hashes(_key(x))))

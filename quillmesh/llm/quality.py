@@ -8,7 +8,7 @@ non-blank characters to that is rejected, as is one that fails the base measures
 
 Works on one text at a time in Python workers, without a shuffle. A null or empty
 text has no words and fails the base measures (n_words < 50). Repeated rows give
-repeated results, extra columns are ignored.
+repeated results, extra columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +28,19 @@ _SYMBOLS = re.compile(r"[#*$%&|<>]").findall
 _MARKS = re.compile(r"[!?#*$%&|<>=_~^{}\[\]\\/@+]").findall
 _SEPARATORS = frozenset(("|", "»", "›", ">", "•", "·", "/", "::", "->", "=>"))
 _BLANKS = " \t\r\x0b\x0c"
-#: Phrases of pages about pages, lower-cased.
-_BOILERPLATE = re.compile(
-    r"all rights reserved|privacy policy|cookie (?:policy|settings)|we use cookies|terms of (?:use|service)"
-    r"|lorem ipsum|enable javascript|javascript is (?:disabled|required)|subscribe to our|sign up for our"
-    r"|click here|share (?:this|on)|follow us|skip to (?:main )?content|back to top|©|\(c\) (?:19|20)\d\d"
-).search
+#: Phrases of pages about pages in English, German, French and Spanish, lower-cased.
+PHRASES = (
+    "all rights reserved", "privacy policy", "cookie policy", "cookie settings", "we use cookies", "terms of use", "terms of service",
+    "lorem ipsum", "enable javascript", "javascript is disabled", "javascript is required", "subscribe to our", "sign up for our",
+    "click here", "share this", "share on", "follow us", "skip to content", "skip to main content", "back to top",
+    "alle rechte vorbehalten", "datenschutzerklärung", "wir verwenden cookies", "nutzungsbedingungen", "javascript aktivieren",
+    "newsletter abonnieren", "hier klicken", "zum inhalt springen", "nach oben", "folgen sie uns",
+    "tous droits réservés", "politique de confidentialité", "nous utilisons des cookies", "conditions d'utilisation", "activer javascript",
+    "abonnez-vous", "cliquez ici", "aller au contenu", "haut de page", "suivez-nous",
+    "todos los derechos reservados", "política de privacidad", "utilizamos cookies", "términos de uso", "active javascript",
+    "suscríbete", "haz clic aquí", "ir al contenido", "volver arriba", "síguenos",
+)
+_BOILERPLATE = re.compile("|".join(map(re.escape, PHRASES)) + r"|©|\(c\) (?:19|20)\d\d").search
 
 
 def line_verdict(line: str, last: bool = False) -> str | None:
@@ -137,7 +144,7 @@ l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscrip
 m AS (SELECT rid, pos, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS v,
         length(trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS size FROM l),
 n AS (SELECT *, max(pos) OVER (PARTITION BY rid) AS last, len(regexp_extract_all(line, '[!?#*$%&|<>=_~^{{}}\\[\\]\\\\/@+]')) AS marks FROM m WHERE len(v) > 0),
-j AS (SELECT *, regexp_matches(lower(line), 'all rights reserved|privacy policy|cookie (policy|settings)|we use cookies|terms of (use|service)|lorem ipsum|enable javascript|javascript is (disabled|required)|subscribe to our|sign up for our|click here|share (this|on)|follow us|skip to (main )?content|back to top|©|\\(c\\) (19|20)[0-9][0-9]')
+j AS (SELECT *, regexp_matches(lower(line), '<phrases>|©|\\(c\\) (19|20)[0-9][0-9]')
         OR len(list_filter(v, lambda x: x IN ('|', '»', '›', '>', '•', '·', '/', '::', '->', '=>'))) * 4 >= len(v)
         OR (marks >= 3 AND marks * 2 > len(v))
         OR (pos <> last AND len(v) > 3 AND NOT contains('.!?…:;。！？"''”’»)]', right(v[-1], 1))) AS bad FROM n),
@@ -150,4 +157,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_repeat_words::BIGINT AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * total AS kept,
        n_lines_failed::BIGINT AS n_lines_failed, lost_chars::BIGINT AS lost_chars FROM f
-""".replace("{{", "{").replace("}}", "}")
+""".replace("{{", "{").replace("}}", "}").replace("<phrases>", "|".join(PHRASES).replace("'", "''"))

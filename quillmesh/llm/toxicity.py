@@ -5,15 +5,19 @@ score is logistic in its words and word beginnings; the document's score is thei
 noisy-or, 1 - prod(1 - sentence score), and the weights are trained from document
 labels through it, so that high-scoring sentences show where the offence is.
 
-Fitting reads a bounded sample: at most ``max_train`` labelled rows, half of each
+Fitting reads a bounded sample: at most ``max_train`` labelled ids, half of each
 class as far as there are so many, picked by a hash of the id, whole texts;
-the classes are weighted back to their shares. At most ``max_features`` features
-are kept (by their chi-squared statistic in the sample), so the model is bounded
-too. Scoring is one scan without a shuffle, one text at a time.
+the classes are weighted back to their shares. At most ``max_features`` features (65,536 and
+no more) are kept, by their chi-squared statistic in the sample, which Spark counts; the
+driver gets their names and, per text, where they occur (6 bytes each). Scoring is one scan
+without a shuffle, one text at a time.
 
 Nulls: rows with a null id, text or label are not learned from; a null text or one
-without words has no sentence and scores 0. With nothing to learn from, all
-scores are 0.
+without words has no sentence and scores 0. An id with several labels is toxic if one
+says so; ids with several texts are learned from by all, or a share of the rows where
+they are more than ``max_train``. Ties of chi-squared go to the smaller feature. With
+nothing to learn from all scores are 0. Repeated rows give repeated results, other
+columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import cut
+
 _TOKENS = re.compile(r"\w+|[.!?…。！？\n]").findall
 _ENDS = frozenset(".!?…。！？\n")
 
 
-def word_features(word: str) -> list[int]:
+@lru_cache(maxsize=200_000)
+def word_features(word: str) -> tuple[int, ...]:
     """Hashed features of a lower-cased word: itself and its beginnings."""
-    names = ["=" + word, *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
-    return [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in names]
+    names = ["=" + word, *(f"^{word[:n]}" for n in (3, 4, 5, 6, 7) if len(word) >= n)]
+    return tuple(xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in names)
 
 
 @dataclass
@@ -93,46 +101,75 @@ class _Scorer:
         return found
 
 
-def _train(bags: list[tuple[int, np.ndarray, np.ndarray]], shares: dict[int, float], max_features: int, rounds: int) -> ToxicModel:
-    """bags: (label, features, sentence of each feature)."""
-    labels = np.array([y for y, _, _ in bags], float)
+def _train(bags: list[tuple[int, int, np.ndarray, np.ndarray]], names: np.ndarray, shares: dict[int, float], rounds: int) -> ToxicModel:
+    """bags: (label, sentences, feature numbers, sentence of each feature)."""
+    labels = np.array([y for y, _, _, _ in bags], float)
     weight = np.where(labels == 1, shares[1], shares[0])
-    # document frequencies from each bag's distinct features, then only chosen ones
-    distinct = [np.unique(f) for _, f, _ in bags]
-    names, df = np.unique(np.concatenate(distinct), return_counts=True)
-    positive, in_positive = np.unique(np.concatenate([f for f, y in zip(distinct, labels) if y == 1]), return_counts=True)
-    del distinct
-    pos = np.zeros(len(names))
-    pos[np.searchsorted(names, positive)] = in_positive
-    expected = df * labels.mean()
-    chi = (pos - expected) ** 2 / np.maximum(expected, 1e-9) + (pos - expected) ** 2 / np.maximum(df - expected, 1e-9)
-    chosen = np.flatnonzero(df >= 3)
-    chosen = names[np.sort(chosen[np.argsort(-chi[chosen], kind="stable")[:max_features]])]
-    columns, rows = [], []
-    base = np.cumsum([0] + [int(s.max()) + 1 if len(s) else 0 for _, _, s in bags])
-    for (_, f, s), first in zip(bags, base):
-        at = np.minimum(np.searchsorted(chosen, f), len(chosen) - 1) if len(chosen) else np.zeros(len(f), int)
-        use = chosen[at] == f if len(chosen) else np.zeros(len(f), bool)
-        columns.append(at[use].astype(np.int32))
-        rows.append((s[use] + first).astype(np.int32))
-    column, row = np.concatenate(columns), np.concatenate(rows)
+    base = np.cumsum([0] + [n for _, n, _, _ in bags])
+    column = np.concatenate([f for _, _, f, _ in bags]).astype(np.int64)
+    row = np.concatenate([s + first for (_, _, _, s), first in zip(bags, base)])
     n_sentences = int(base[-1])
     sentence_doc = np.repeat(np.arange(len(bags), dtype=np.int32), np.diff(base))
-    w, bias = np.zeros(len(chosen)), -6.0
-    grad_w, grad_b = np.full(len(chosen), 1e-6), 1e-6
+    w, bias = np.zeros(len(names)), -6.0
+    grad_w, grad_b = np.full(len(names), 1e-6), 1e-6
     total = weight.sum()
     for _ in range(rounds):
-        z = np.bincount(row, w[column], minlength=n_sentences) + bias
-        clean = np.bincount(sentence_doc, np.logaddexp(0, z), minlength=len(bags))  # -log(1 - P)
-        share = np.where(labels == 1, -np.exp(-clean) / np.maximum(-np.expm1(-clean), 1e-9), 1.0) * weight
-        g = share[sentence_doc] / (1 + np.exp(-z))
-        gw = np.bincount(column, g[row], minlength=len(chosen)) / total + 1e-6 * w
+        g, _ = noisy_or_gradient(np.bincount(row, w[column], minlength=n_sentences) + bias, sentence_doc, labels, weight)
+        gw = np.bincount(column, g[row], minlength=len(names)) / total + 1e-6 * w
         gb = g.sum() / total
         grad_w += gw * gw
         grad_b += gb * gb
         w -= 0.5 * gw / np.sqrt(grad_w)
         bias -= 0.2 * gb / np.sqrt(grad_b)
-    return ToxicModel({int(c): float(v) for c, v in zip(chosen, w) if abs(v) > 1e-3}, float(bias))
+    return ToxicModel({int(c): float(v) for c, v in zip(names, w) if abs(v) > 1e-3}, float(bias))
+
+
+def noisy_or_gradient(z: np.ndarray, doc: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient of the weighted log loss by each sentence's logit, and the loss."""
+    clean = np.bincount(doc, np.logaddexp(0, z), minlength=len(labels))  # -log(1 - P)
+    toxic = np.maximum(-np.expm1(-clean), 1e-9)
+    share = np.where(labels == 1, -np.exp(-clean) / toxic, 1.0) * weight
+    return share[doc] / (1 + np.exp(-z)), float((weight * np.where(labels == 1, -np.log(toxic), clean)).sum())
+
+
+def _bag(text: str) -> tuple[list[int], list[int], int]:
+    """A text's features, the sentence of each, and its number of sentences with a word."""
+    codes, of, n, filled = [], [], 0, False
+    for token in _TOKENS(text.lower()):
+        if token in _ENDS:
+            n, filled = n + filled, False
+        else:
+            found = word_features(token)
+            codes += found
+            of += [n] * len(found)
+            filled = True
+    return codes, of, n + filled
+
+
+def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for y, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.unique(np.array(_bag(value.as_py())[0], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), y, np.int32)), pa.array(own)], ["y", "f"])
+
+
+def _chosen_features(names: np.ndarray):
+    """Rows (y, text) -> the bag with the features of ``names`` only, as numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, sentences, sizes = [], [], []
+            for value in batch.column(1):
+                codes, of, n = _bag(value.as_py())
+                codes = np.array(codes, np.int64)
+                at = np.minimum(np.searchsorted(names, codes), len(names) - 1)
+                use = names[at] == codes
+                numbers.append(at[use].astype("<u2").tobytes())
+                sentences.append(np.array(of, "<u4")[use].tobytes())
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(numbers, pa.binary()), pa.array(sentences, pa.binary())], ["y", "n", "f", "s"])
+
+    return run
 
 
 def fit(
@@ -143,46 +180,47 @@ def fit(
     label_id_col: str = "doc_id",
     label_col: str = "toxic",
     max_train: int = 5000,
-    max_features: int = 20_000,
+    max_features: int = 1000,
     rounds: int = 250,
 ) -> ToxicModel:
     """Learn from the rows of ``docs`` that ``labels`` marks 0 or 1 (both already
     limited to training rows)."""
     marks = labels.select(F.col(label_id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id IS NOT NULL AND y IN (0, 1)")
+    marks = marks.groupBy("_id").agg(F.max("y").alias("y"))
     totals = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
     if len(totals) < 2:
         return ToxicModel()
     half = max_train // 2
-    place = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
-    wanted = {y: min(1.0, half / n) for y, n in totals.items()}
-    marks = marks.where(place < F.when(F.col("y") == 1, wanted[1]).otherwise(wanted[0]))
+    # at most half of each label, those of the least hashes (a limit, so a bound)
+    place = F.xxhash64(F.col("_id").cast("string"), F.lit(6))
+    picked = [marks.where(F.col("y") == y).orderBy(place, "_id").limit(half) for y in (0, 1)]
+    chosen = cut(picked[0].union(picked[1]))
     texts = docs.select(F.col(id_col).alias("_did"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    sample = texts.join(F.broadcast(marks), F.col("_did") == F.col("_id")).select("y", "text")  # marks: at most max_train rows
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for value in batch.column(1):
-                codes, of, n, filled = [], [], 0, False
-                for token in _TOKENS(value.as_py().lower()):
-                    if token in _ENDS:
-                        n, filled = n + filled, False
-                    else:
-                        found = word_features(token)
-                        codes += found
-                        of += [n] * len(found)
-                        filled = True
-                out.append((np.array(codes, "<u4").tobytes(), np.array(of, "<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], pa.binary()) for i in (0, 1))], ["y", "f", "s"])
-
-    rows = sample.mapInArrow(features, "y int, f binary, s binary").collect()
-    bags = sorted(((r.y, bytes(r.f), bytes(r.s)) for r in rows if r.f), key=lambda x: (x[0], xxhash.xxh64_digest(x[1])))
-    del rows
-    bags = [(y, np.frombuffer(f, "<u4"), np.frombuffer(s, "<u4").astype(np.int32)) for y, f, s in bags]
+    sample = texts.join(F.broadcast(chosen), F.col("_did") == F.col("_id"))  # chosen: at most max_train rows
+    rows = sample.groupBy("_id").count().agg(F.sum("count")).first()[0] or 0
+    if rows > max_train:  # ids with many rows: a share of the rows
+        sample = sample.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < int((1 << 30) * max_train / rows))
+    sample = cut(sample.select("y", "text").limit(2 * max_train))
+    sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(sizes) < 2:
+        return ToxicModel()
+    # features by chi-squared, in Spark: only their names come to the driver
+    share = sizes[1] / (sizes[0] + sizes[1])
+    expected = F.col("df") * share
+    off = (F.col("pos") - expected) * (F.col("pos") - expected)
+    counted = sample.mapInArrow(_distinct_features, "y int, f bigint").groupBy("f").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("pos")).where("df >= 3")
+    best = counted.select("f", (off / expected + off / (F.col("df") - expected)).alias("chi")).orderBy(F.desc("chi"), "f").limit(max_features)
+    names = np.array(sorted(r.f for r in best.collect()), np.int64)
+    if not len(names):
+        return ToxicModel()
+    made = sample.mapInArrow(_chosen_features(names), "y int, n bigint, f binary, s binary").where("n > 0").collect()
+    bags = sorted(((r.y, r.n, bytes(r.f), bytes(r.s)) for r in made), key=lambda x: (x[0], xxhash.xxh64_digest(x[2] + x[3]), x[1]))
+    del made
+    bags = [(y, n, np.frombuffer(f, "<u2"), np.frombuffer(s, "<u4").astype(np.int64)) for y, n, f, s in bags]
     have = {y: sum(b[0] == y for b in bags) for y in (0, 1)}
     if not have[0] or not have[1]:
         return ToxicModel()
-    return _train(bags, {y: totals[y] / have[y] for y in (0, 1)}, max_features, rounds)
+    return _train(bags, names, {y: totals[y] / have[y] for y in (0, 1)}, rounds)
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, with_sentences: bool = True) -> DataFrame:

@@ -513,6 +513,47 @@ def test_toxicity(spark):
     assert all(r.score < 1e-9 for r in toxicity.score(docs, nothing).collect())
 
 
+def test_toxicity_noisy_or():
+    """Score and gradient against the definition, sentence by sentence."""
+    rng = np.random.default_rng(2)
+    model = toxicity.ToxicModel({f: float(rng.normal()) for w in ("ab", "cdefgh", "xyz") for f in toxicity.word_features(w)}, -1.0)
+    for text in ("ab cdefgh. xyz! ab", "...", "", "zz", "ab ab\nxyz xyz xyz? cdefgh", None):
+        clean, some = 1.0, False
+        for part in re.split(r"[.!?\n]", text or ""):
+            own = re.findall(r"\w+", part)
+            if own:
+                z = -1.0 + sum(model.weights.get(f, 0.0) for w in own for f in toxicity.word_features(w))
+                clean, some = clean * (1 - 1 / (1 + np.exp(-z))), True
+        assert abs(model.scorer().score(text) - (1 - clean if some else 0.0)) < 1e-12
+    doc, labels, weight = np.array([0, 0, 1, 2, 2, 2]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    z = rng.normal(size=6)
+    gradient, _ = toxicity.noisy_or_gradient(z, doc, labels, weight)
+    for i in range(6):
+        up, down = z.copy(), z.copy()
+        up[i] += 1e-6
+        down[i] -= 1e-6
+        slope = (toxicity.noisy_or_gradient(up, doc, labels, weight)[1] - toxicity.noisy_or_gradient(down, doc, labels, weight)[1]) / 2e-6
+        assert abs(slope - gradient[i]) < 1e-5
+
+
+def test_toxicity_edge_tables(spark):
+    """Repeated ids and rows, clashing columns, a very long text, empty tables."""
+    schema = "doc_id long, text string, score string, predicted string"
+    rows = [(i, f"{'bad' if i % 2 else 'good'} word{i % 7}. fine", "c", "c") for i in range(60)]
+    long = "good word. " * 50_000
+    docs = spark.createDataFrame([*rows, *rows[:10], (3, "bad again", "c", "c"), (70, long, "c", "c"), (70, long + "bad bad", "c", "c")], schema)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (3, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = defaultdict(list)
+    for r in toxicity.score(docs, model).collect():
+        got[r.doc_id].append(r.score)
+    assert sum(map(len, got.values())) == 73 and got[5][0] == got[5][1] and got[5][0] > got[4][0] and got[70][0] != got[70][1]
+    assert toxicity.score(docs.limit(0), model).collect() == []
+    assert toxicity.fit(docs.limit(0), labels).weights == {} and toxicity.fit(docs, labels.where("toxic = 1")).weights == {}
+    small = toxicity.fit(docs, labels, max_train=20, max_features=5)
+    assert len(small.weights) <= 5
+
+
 # ---- 7 quality -------------------------------------------------------------
 
 
