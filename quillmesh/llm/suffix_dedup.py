@@ -47,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -130,7 +131,6 @@ class _Text:
         self.anchor_keys = (grams[anchors] & _LOW) | _A
         self.sample = np.unique(np.concatenate((anchors[anchors < self.windows], [0, self.windows - 1])))
         self.sample_keys = self.prints(self.sample) | _B
-        self.owner_keys = (grams & _LOW) | _A
 
     def prints(self, at: np.ndarray) -> np.ndarray:
         """Fingerprints of the windows at these places."""
@@ -148,23 +148,30 @@ class _Text:
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return first, last, ((h ^ (h >> np.uint64(30))) & _LOW) | _W
 
-    def open_windows(self, counts: _Counts) -> tuple[np.ndarray, np.ndarray]:
-        """Which windows' anchors occur twice though the sample can't settle them,
-        and how often each window's anchor occurs.
+    def open_windows(self, counts: _Counts, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows whose anchors occur twice though the sample can't settle them, the
+        run of windows with one anchor that each is in, and how often each run's anchor
+        occurs; ``near``: how often each sample key does. Only runs of repeated anchors
+        are looked at.
 
         The sample settles a window if all strings like its anchor stand where
         its sample neighbours stand: the anchor lies within both neighbours'
         windows and occurs as often as they do, so every copy of the window is
         covered by repeated neighbours just as this one is."""
-        near, of_anchor = counts.of(self.sample_keys), counts.of(self.owner_keys[self.anchors])
-        owned = np.repeat(of_anchor, np.diff(np.append(self.first, self.windows)))
-        left = np.repeat(np.arange(len(self.sample)), np.diff(np.append(self.sample, self.windows)))
-        right = np.minimum(left + 1, len(self.sample) - 1)
-        right[self.sample] = left[self.sample]
-        reach = self.length - GRAM
-        inside = (self.owner <= self.sample[left] + reach) & (self.owner >= self.sample[right])
-        settled = inside & (near[left] == owned) & (near[right] == owned)
-        return (owned > 1) & ~settled, owned
+        of_anchor = counts.of(self.anchor_keys)
+        runs = np.flatnonzero(of_anchor > 1)
+        if not len(runs):
+            return runs, runs, of_anchor
+        ends = np.append(self.first[1:], self.windows)
+        many = ends[runs] - self.first[runs]
+        run = np.repeat(runs, many)
+        at = np.repeat(self.first[runs] - np.cumsum(many) + many, many) + np.arange(len(run))
+        left = np.searchsorted(self.sample, at, "right") - 1
+        right = np.minimum(left + (self.sample[left] != at), len(self.sample) - 1)
+        owner, owned, reach = self.anchors[run], of_anchor[run], self.length - GRAM
+        inside = (owner <= self.sample[left] + reach) & (owner >= self.sample[right])
+        is_open = ~(inside & (near[left] == owned) & (near[right] == owned))
+        return at[is_open], run[is_open], of_anchor
 
     def second_print(self, at: np.ndarray) -> np.ndarray:
         base = _BASES[1]
@@ -385,23 +392,28 @@ def _runs_and_windows(length: int, cuts: list[bytes], parts: int, hot: int, n_bu
         block = key[0].as_py()
         counts = _Counts(keys.column("key").to_numpy().view(np.uint64), keys.column("total").to_numpy())
         hasher, strings, joint, windows, seconds = _Hasher(), {}, {}, [], []
-        for _, data in rows if keys.num_rows else ():
+        maybe = np.zeros(len(rows), bool)
+        for number, (_, data) in enumerate(rows if keys.num_rows else ()):
             text = _Text(hasher, data, length)
             if not text.windows:
                 continue
-            for at in text.sample[counts.of(text.sample_keys) > 1].tolist():
+            near = counts.of(text.sample_keys)
+            twice = text.sample[near > 1].tolist()
+            for at in twice:
                 suffix = data[at : at + length]
                 strings[suffix] = strings.get(suffix, 0) + 1
-            is_open, owned = text.open_windows(counts)
-            at = np.flatnonzero(is_open & (owned > hot))
-            if len(at):
-                windows.append(text.prints(at) | _W)
-                seconds.append(text.second_print(at))
+            at, runs_of, of_anchor = text.open_windows(counts, near)
+            maybe[number] = bool(twice) or len(at) > 0
+            if not len(at):
+                continue
+            is_hot = of_anchor[runs_of] > hot
+            if is_hot.any():
+                windows.append(text.prints(at[is_hot]) | _W)
+                seconds.append(text.second_print(at[is_hot]))
             first, last, covered = text.owned()
-            any_open = np.add.reduceat(is_open, first) > 0
-            for i in np.flatnonzero(any_open & (owned[first] <= hot)).tolist():
+            for i in np.unique(runs_of[~is_hot]).tolist():
                 named = int(covered[i])
-                anchor = int(text.owner_keys[text.owner[first[i]]])
+                anchor = int(text.anchor_keys[i])
                 before = joint.get(named)
                 joint[named] = (anchor, data[first[i] : last[i] + length], before[2] + 1 if before else 1)
         ranges: dict[int, list[bytes]] = {}
@@ -420,19 +432,22 @@ def _runs_and_windows(length: int, cuts: list[bytes], parts: int, hot: int, n_bu
         n = np.diff(np.append(start, len(k)))
         k, s = k[start], s[start]
         r, j, m = len(coded), len(buckets), len(k)
+        flags = [np.packbits(maybe).tobytes()] if maybe.any() else []  # range -1: texts that may lose something
+        f = len(flags)
 
         def column(*parts) -> pa.ChunkedArray:
             kind = next(p.type for p in parts if not isinstance(p, int))
             return pa.chunked_array([pa.nulls(p, kind) if isinstance(p, int) else p for p in parts])
 
+        strings_of = [packed.compress(_pack_strings(x)) for x in buckets.values()]
         return pa.table(
             {
-                "block": pa.array(np.full(r + j + m, block, np.int64)),
-                "range": column(pa.array(list(ranges), pa.int64()), j, m),
-                "run": column(pa.array(coded + [packed.compress(_pack_strings(x)) for x in buckets.values()], pa.binary()), m),
-                "key": column(r, pa.array(list(buckets), pa.int64()), pa.array(k.view(np.int64))),
-                "second": column(r + j, pa.array(s.view(np.int64))),
-                "n": column(r + j, pa.array(n)),
+                "block": pa.array(np.full(r + f + j + m, block, np.int64)),
+                "range": column(pa.array([*ranges, *([-1] * f)], pa.int64()), j, m),
+                "run": column(pa.array(coded + flags + strings_of, pa.binary()), m),
+                "key": column(r + f, pa.array(list(buckets), pa.int64()), pa.array(k.view(np.int64))),
+                "second": column(r + f + j, pa.array(s.view(np.int64))),
+                "n": column(r + f + j, pa.array(n)),
             }
         )
 
@@ -558,6 +573,10 @@ def _cover(text: _Text, known: np.ndarray, single: np.ndarray, joint: np.ndarray
 def _finish(length: int, digest: bool):
     def run(key, blobs: pa.Table, keys: pa.Table) -> pa.Table:
         rows = _decode_block(blobs, keys)
+        named = keys.column("key").is_valid()
+        flags = keys.filter(pc.invert(named)).column("mask").to_pylist()
+        maybe = np.unpackbits(np.frombuffer(b"".join(flags), np.uint8), count=len(rows)).astype(bool) if flags else np.zeros(len(rows), bool)
+        keys = keys.filter(named)
         mask = keys.column("mask").combine_chunks()
         key_values = keys.column("key").to_numpy().view(np.uint64)
         plain = mask.is_null().to_numpy(zero_copy_only=False)
@@ -567,9 +586,9 @@ def _finish(length: int, digest: bool):
         joint, place = np.unique(key_values[~plain], return_index=True)
         masks = mask.drop_null().take(pa.array(place, pa.int64())).to_pylist()
         hasher, out = _Hasher(), []
-        for doc_id, data in rows:
+        for (doc_id, data), may in zip(rows, maybe.tolist()):
             kept, n_spans = data, 0
-            if keys.num_rows and len(data) >= length:
+            if may:
                 text = _Text(hasher, data, length)
                 gone = _cover(text, known, single, joint, masks)
                 if gone.any():
@@ -650,12 +669,13 @@ def remove_repeats(
         .applyInArrow(_runs_and_windows(length, cuts, parts, hot, n_ranges), "block bigint, range bigint, run binary, key bigint, second bigint, n bigint")
     )
     none = F.lit(None).cast("binary")
-    sorted_runs = sent.where("range IS NOT NULL").select("block", "range", "run")
+    sorted_runs = sent.where("range >= 0").select("block", "range", "run")
     merged = sorted_runs.groupBy("range").applyInArrow(_merge_range(length), "block bigint, key bigint")
     joint = sent.where("range IS NULL AND run IS NOT NULL").select("block", F.col("key").alias("bucket"), "run")
     met = joint.groupBy("bucket").applyInArrow(_meet_anchors(length), "block bigint, key bigint, mask binary")
     windows = _repeated(sent.where("run IS NULL"))
     known = merged.select("block", "key", none.alias("mask")).union(windows.select("block", "key", none.alias("mask"))).union(met)
+    known = known.union(sent.where("range = -1").select("block", F.lit(None).cast("long").alias("key"), F.col("run").alias("mask")))
     made = "kept_sha256 string" if digest else "kept binary"
     return (
         blocks.groupBy("block")
