@@ -3,29 +3,26 @@
 A byte is removed if a ``length``-byte string that covers it also starts anywhere
 else (in any document, on the input as given). Strings never cross documents.
 
-Which strings repeat is decided for a *sparse* set of suffixes and for the few
-windows between them that this leaves open:
+Which strings repeat is decided for runs of windows that share an anchor:
 
 1. Anchors: in each window of ``length`` bytes the leftmost ``GRAM``-byte string of
-   least hash (winnowing), so equal windows have their anchor at the same place.
-   S: the anchors at which a window starts, the first and the last window of each
-   text. Per block of texts, the fingerprints of S's windows and of the anchors
-   are exchanged; only those that occur twice go on (distributed duplicate
-   detection: all else has a distinguishing prefix shorter than ``length``).
-2. Suffixes of S that go on are sorted within each block and exchanged as
-   front-coded runs (common prefix with the string before, then the rest), by
-   ranges of the sorted order; a range's runs are combined with a loser tree that
-   compares two strings only beyond the prefix they are known to share. Strings
-   that come from two places are repeated.
-3. If two neighbours in S are both repeated, all bytes from the one to the end of
-   the other are covered. Windows whose anchor occurs twice, but not always between
-   the same neighbours, are open. The windows of one anchor overlap, so they travel
-   as one string, by anchor, and are compared where the anchor's strings meet (by
-   126-bit fingerprints). For anchors that occur over ``hot`` times each window's
-   fingerprint is exchanged by itself, like the keys of step 1, so that no anchor
+   least hash (winnowing), so equal windows have their anchor at the same place. The
+   windows with one anchor are a run. Per block of texts, the fingerprints of the anchors
+   and of their runs' bytes are exchanged; anchors that occur once have no repeated
+   window (distributed duplicate detection).
+2. An anchor that occurs twice or more, always with one run: all windows of the run are
+   repeated. Its run's first suffix is sorted within each block and exchanged in
+   front-coded runs (common prefix with the string before, then the rest), by ranges of
+   the sorted order; a range's runs are combined with a loser tree that compares two
+   strings only beyond the prefix they are known to share. Strings that come from two
+   places are repeated, and with them all of the run.
+3. An anchor with different runs: which windows repeat is open, in all places alike. A
+   run's windows overlap, so they travel as one string, by anchor, and are compared where
+   the anchor's strings meet (by 126-bit fingerprints). For anchors that occur over ``hot``
+   times each window's fingerprint is exchanged by itself, so that no anchor
    has to meet in one task.
 
-Scale: a block sends each key at most twice and each suffix once, so copies meet
+Scale: a block sends each anchor and each suffix once, so copies meet
 as one entry per block; ranges are cut at quantiles of a bounded sample (balance
 only, results don't depend on it), of which no more than ``MAX_CUTS`` go to the tasks; beyond
 them each range is split by a hash of the string, so ranges stay small at any size. An
@@ -56,7 +53,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import cut
 
 GRAM = 50
-_A, _B, _W = np.uint64(0), np.uint64(1), np.uint64(2)  # kinds of key: anchor, suffix of S, window
+_A, _B, _W = np.uint64(0), np.uint64(1), np.uint64(2)  # kinds of key: anchor, first window of a run, window
 _LOW = ~np.uint64(3)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POSITION = np.uint64((1 << 24) - 1)
@@ -114,7 +111,7 @@ def owners(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Text:
-    """One text's suffix sample and keys."""
+    """One text's anchors, and the runs of windows that have one anchor."""
 
     def __init__(self, hasher: _Hasher, data: bytes, length: int):
         self.data, self.length, self.hasher = data, length, hasher
@@ -129,8 +126,6 @@ class _Text:
         self.first = np.concatenate(([0], np.flatnonzero(self.owner[1:] != self.owner[:-1]) + 1))  # owners never go back
         self.anchors = anchors = self.owner[self.first]
         self.anchor_keys = (grams[anchors] & _LOW) | _A
-        self.sample = np.unique(np.concatenate((anchors[anchors < self.windows], [0, self.windows - 1])))
-        self.sample_keys = self.prints(self.sample) | _B
 
     def prints(self, at: np.ndarray) -> np.ndarray:
         """Fingerprints of the windows at these places."""
@@ -148,31 +143,6 @@ class _Text:
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return first, last, ((h ^ (h >> np.uint64(30))) & _LOW) | _W
 
-    def open_windows(self, counts: _Counts, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows whose anchors occur twice though the sample can't settle them, the
-        run of windows with one anchor that each is in, and how often each run's anchor
-        occurs; ``near``: how often each sample key does. Only runs of repeated anchors
-        are looked at.
-
-        The sample settles a window if all strings like its anchor stand where
-        its sample neighbours stand: the anchor lies within both neighbours'
-        windows and occurs as often as they do, so every copy of the window is
-        covered by repeated neighbours just as this one is."""
-        of_anchor = counts.of(self.anchor_keys)
-        runs = np.flatnonzero(of_anchor > 1)
-        if not len(runs):
-            return runs, runs, of_anchor
-        ends = np.append(self.first[1:], self.windows)
-        many = ends[runs] - self.first[runs]
-        run = np.repeat(runs, many)
-        at = np.repeat(self.first[runs] - np.cumsum(many) + many, many) + np.arange(len(run))
-        left = np.searchsorted(self.sample, at, "right") - 1
-        right = np.minimum(left + (self.sample[left] != at), len(self.sample) - 1)
-        owner, owned, reach = self.anchors[run], of_anchor[run], self.length - GRAM
-        inside = (owner <= self.sample[left] + reach) & (owner >= self.sample[right])
-        is_open = ~(inside & (near[left] == owned) & (near[right] == owned))
-        return at[is_open], run[is_open], of_anchor
-
     def second_print(self, at: np.ndarray) -> np.ndarray:
         base = _BASES[1]
         return self.hasher.grams(self.hasher.sums(self.bytes, base), self.length, base)[at]
@@ -187,7 +157,8 @@ def _among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class _Counts:
-    """How often each key of a block occurs over all blocks (0: once)."""
+    """How often each key of a block occurs over all blocks (0: once; negative: in
+    the same surroundings everywhere)."""
 
     def __init__(self, keys: np.ndarray, totals: np.ndarray):
         self.keys, first = np.unique(keys, return_index=True)
@@ -234,32 +205,50 @@ def _chunks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[lis
 
 
 def _first_keys(length: int, block_bytes: int):
-    """Of each block: its anchors' and sample's keys and how often it has them."""
+    """Of each block: its anchors' keys, those of their runs, and how often it has both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for rows in _chunks(batches, block_bytes):
             block, _ = _pack(rows)
-            keys = []
+            keys, around = [], []
             for _, data in rows:
                 text = _Text(hasher, data, length)
                 if text.windows:
-                    keys += [text.anchor_keys, text.sample_keys]
+                    keys.append(text.anchor_keys)
+                    around.append(text.owned()[2])
             if keys:
-                values, counts = np.unique(np.concatenate(keys), return_counts=True)
-                columns = [values.view(np.int64), np.zeros(len(values), np.int64), np.full(len(values), block, np.int64), counts.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "second", "block", "n"])
+                columns = [pa.array(c) for c in _distinct_pairs(np.concatenate(keys), np.concatenate(around))]
+                blocks = pa.array(np.full(len(columns[0]), block, np.int64))
+                yield pa.RecordBatch.from_arrays([columns[0], columns[1], blocks, columns[2]], ["key", "second", "block", "n"])
 
     return run
 
 
+def _distinct_pairs(k: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, as signed numbers, and how often each is met."""
+    order = np.lexsort((s, k))
+    k, s = k[order], s[order]
+    start = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))) if len(k) else np.zeros(0, np.int64)
+    return k[start].view(np.int64), s[start].view(np.int64), np.diff(np.append(start, len(k)))
+
+
 def _repeated(rows: DataFrame) -> DataFrame:
-    """(block, key, total) of the keys that occur twice or more over all blocks. A
-    key has one row per block at most; one exchange and one sort."""
+    """(block, key, total) of the (key, second) that occur twice or more over all
+    blocks. One exchange and one sort."""
     total = F.sum("n").over(Window.partitionBy("key", "second"))
     return rows.select("key", "second", "block", "n").withColumn("total", total).where("total > 1").select("block", "key", "total")
 
 
+def _repeated_anchors(rows: DataFrame) -> DataFrame:
+    """(block, key, total) of the keys that occur twice or more; negative if with
+    one ``second`` everywhere. One exchange and one sort."""
+    whole = Window.partitionBy("key")
+    met = rows.select("key", "second", "block", "n").withColumn("total", F.sum("n").over(whole))
+    met = met.withColumn("same", F.min("second").over(whole) == F.max("second").over(whole)).where("total > 1")
+    return met.select("block", "key", F.when(F.col("same"), -F.col("total")).otherwise(F.col("total")).alias("total"))
+
+
 # ---- sorted runs and their merge -------------------------------------------
 
 
@@ -397,21 +386,22 @@ def _runs_and_windows(length: int, cuts: list[bytes], parts: int, hot: int, n_bu
             text = _Text(hasher, data, length)
             if not text.windows:
                 continue
-            near = counts.of(text.sample_keys)
-            twice = text.sample[near > 1].tolist()
-            for at in twice:
+            of_anchor = counts.of(text.anchor_keys)
+            met = np.flatnonzero(of_anchor)
+            if not len(met):
+                continue
+            maybe[number] = True
+            first, last, covered = text.owned()
+            for at in first[met[of_anchor[met] < 0]].tolist():
                 suffix = data[at : at + length]
                 strings[suffix] = strings.get(suffix, 0) + 1
-            at, runs_of, of_anchor = text.open_windows(counts, near)
-            maybe[number] = bool(twice) or len(at) > 0
-            if not len(at):
-                continue
-            is_hot = of_anchor[runs_of] > hot
+            is_hot = of_anchor > hot
             if is_hot.any():
-                windows.append(text.prints(at[is_hot]) | _W)
-                seconds.append(text.second_print(at[is_hot]))
-            first, last, covered = text.owned()
-            for i in np.unique(runs_of[~is_hot]).tolist():
+                runs = np.flatnonzero(is_hot)
+                at = np.concatenate([np.arange(first[i], last[i] + 1) for i in runs.tolist()])
+                windows.append(text.prints(at) | _W)
+                seconds.append(text.second_print(at))
+            for i in met[(of_anchor[met] > 0) & ~is_hot[met]].tolist():
                 named = int(covered[i])
                 anchor = int(text.anchor_keys[i])
                 before = joint.get(named)
@@ -426,11 +416,7 @@ def _runs_and_windows(length: int, cuts: list[bytes], parts: int, hot: int, n_bu
         coded = [packed.compress(front_code(x, [strings[s] for s in x])) for x in ranges.values()]
         k = np.concatenate(windows) if windows else np.zeros(0, np.uint64)
         s = np.concatenate(seconds) if seconds else np.zeros(0, np.uint64)
-        order = np.lexsort((s, k))
-        k, s = k[order], s[order]
-        start = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))) if len(k) else np.zeros(0, np.int64)
-        n = np.diff(np.append(start, len(k)))
-        k, s = k[start], s[start]
+        k, s, n = _distinct_pairs(k, s)
         r, j, m = len(coded), len(buckets), len(k)
         flags = [np.packbits(maybe).tobytes()] if maybe.any() else []  # range -1: texts that may lose something
         f = len(flags)
@@ -445,8 +431,8 @@ def _runs_and_windows(length: int, cuts: list[bytes], parts: int, hot: int, n_bu
                 "block": pa.array(np.full(r + f + j + m, block, np.int64)),
                 "range": column(pa.array([*ranges, *([-1] * f)], pa.int64()), j, m),
                 "run": column(pa.array(coded + flags + strings_of, pa.binary()), m),
-                "key": column(r + f, pa.array(list(buckets), pa.int64()), pa.array(k.view(np.int64))),
-                "second": column(r + f + j, pa.array(s.view(np.int64))),
+                "key": column(r + f, pa.array(list(buckets), pa.int64()), pa.array(k)),
+                "second": column(r + f + j, pa.array(s)),
                 "n": column(r + f + j, pa.array(n)),
             }
         )
@@ -548,14 +534,12 @@ def _merge_range(length: int):
 
 def _cover(text: _Text, known: np.ndarray, single: np.ndarray, joint: np.ndarray, masks: list[bytes]) -> np.ndarray:
     """Which bytes of a text are covered by repeated windows: ``known`` are keys of
-    the sample, ``single`` of windows of hot anchors."""
-    both = _among(known, text.sample_keys) >= 0
+    first windows of repeated runs, ``single`` of windows of hot anchors."""
     start = np.zeros(text.windows, bool)
     if len(single):
         start = _among(single, text.prints(np.arange(text.windows)) | _W) >= 0
-    start[text.sample[both]] = True
+    first, last, covered = text.owned()
     if len(joint):
-        first, last, covered = text.owned()
         found = _among(joint, covered)
         for i in np.flatnonzero(found >= 0).tolist():
             bits = np.unpackbits(np.frombuffer(masks[found[i]], np.uint8), count=int(last[i] - first[i]) + 1)
@@ -564,9 +548,9 @@ def _cover(text: _Text, known: np.ndarray, single: np.ndarray, joint: np.ndarray
     at = np.flatnonzero(start)
     edge[at] += 1
     edge[at + text.length] -= 1
-    pairs = np.flatnonzero(both[:-1] & both[1:])  # gaps between repeated neighbours
-    np.add.at(edge, text.sample[pairs], 1)
-    np.add.at(edge, text.sample[pairs + 1] + text.length, -1)
+    whole = np.flatnonzero(_among(known, text.prints(first) | _B) >= 0)
+    edge[first[whole]] += 1  # no two runs have their first or their last window in common
+    edge[last[whole] + text.length] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -662,7 +646,7 @@ def remove_repeats(
 
     blocks = source.mapInArrow(pack, "block bigint, blob binary")
     first = source.mapInArrow(_first_keys(length, block_bytes), "key bigint, second bigint, block bigint, n bigint")
-    twice = _repeated(first)
+    twice = _repeated_anchors(first)
     sent = cut(
         blocks.groupBy("block")
         .cogroup(twice.groupBy("block"))

@@ -689,6 +689,8 @@ def passages():
     p, q = text(320), text(215)
     out = base + [a[:300] + b[100:500] for a, b in zip(base, base[1:])]
     out += [text(100) + p + text(80), text(33) + p + text(5), q + text(3), text(70) + q, "ab" * 300, "ab" * 200, "x" * 450]
+    # a repeated word between other text, in different surroundings
+    out += [text(150) + "Und der " * n + text(180) for n in (0, 20, 31, 60)] + [text(90) + "chlich " * 70 + p[:40], "chlich " * 45 + text(30)]
     out += [None, "", text(200) + p[:199], base[3], base[3]]
     return out + [text(k) + base[7][k : k + 260] + text(50) for k in range(0, 200, 9)]
 
