@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillmesh.llm.common import deal_of
+from quillmesh.llm.common import deal_of, free_memory, lean
 
 _NO_RANK = 1 << 30
 
@@ -351,6 +351,7 @@ def _block_words(pattern: str, buckets: int, text_at: int):
     def run(key, table):
         dealt = by_bucket(BlockWords(pattern, table.column(text_at)).words, buckets)
         packed = [_pack(_BETWEEN.join(same)) for same in dealt.values()]
+        free_memory()
         return pa.table({"bucket": pa.array(dealt, pa.int32()), "block": pa.array([key[0].as_py()] * len(dealt), pa.int32()), "words": pa.array(packed, pa.binary())})
 
     return run
@@ -456,6 +457,8 @@ def _encode_block(pieces: list[bytes], pattern: str, buckets: int, kept: list[st
             decoded_out.append(hashlib.sha256(decoded).hexdigest() if digest else decoded)
         columns = [table.column(1 + i) for i in range(len(kept))]
         made = [pa.array(c, schema.field(len(kept) + 1 + i).type) for i, c in enumerate((ids_out, decoded_out))]
+        del block, flat, binary, texts, ids_out, decoded_out
+        free_memory()
         return pa.Table.from_arrays([*columns, pa.array(counts, pa.int64()), *made], schema.names)
 
     return run
@@ -495,10 +498,10 @@ def encode_documents(
     words = source.groupBy("_block").applyInArrow(_block_words(pattern, buckets, text_at), "bucket int, block int, words binary")
     dealt = words.repartition("bucket").sortWithinPartitions("bucket")
     ranks = {piece: rank for rank, piece in enumerate(literals.pieces)}
-    distinct = dealt.mapInArrow(_distinct_words(ranks), "bucket int, block int, word binary, known array<int>, numbers binary")
+    distinct = dealt.mapInArrow(lean(_distinct_words(ranks)), "bucket int, block int, word binary, known array<int>, numbers binary")
     fold = F.when(F.col("word").isNotNull(), F.coalesce("known", literals.bind(lambda t: encode_word(t, F.col("word")))))
     coded = distinct.select("bucket", "block", "numbers", fold.alias("ids"))
-    block_ids = coded.mapInArrow(_block_ids, "block int, bucket int, ids binary").withColumnRenamed("block", "_block")
+    block_ids = coded.mapInArrow(lean(_block_ids), "block int, bucket int, ids binary").withColumnRenamed("block", "_block")
     schema = to_arrow_schema(docs.select(*kept).withColumn("n_tokens", F.lit(0).cast("long")).selectExpr("*", *(f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in made.split(", "))).schema)
     run = _encode_block(literals.pieces, pattern, buckets, kept, text_at, digest, schema)
     return source.groupBy("_block").cogroup(block_ids.groupBy("_block")).applyInArrow(run, result)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut
+from quillmesh.llm.common import cut, lean
 from quillmesh.llm.shingles import plain_words, shingle_hashes, shingle_set
 
 
@@ -147,7 +147,7 @@ def contained_items(
     found = None
     for rows in item_blocks(items, item_id_col, item_text_col, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(Block(((r.i, r.t) for r in rows), k, threshold))
-        one = source.mapInArrow(_search(sent), schema)
+        one = source.mapInArrow(lean(_search(sent)), schema)
         found = one if found is None else found.union(one)
     return found
 

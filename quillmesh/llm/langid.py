@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import lean
+
 BINS = 1 << 14
 
 
@@ -114,7 +116,7 @@ def fit(
             pack = [pa.array([x[i].astype("<u4").tobytes() for x in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *pack], ["lang", "bins", "counts"])
 
-    sample = rows.where(place < fraction).select("lang", "text").mapInArrow(features, "lang string, bins binary, counts binary")
+    sample = rows.where(place < fraction).select("lang", "text").mapInArrow(lean(features), "lang string, bins binary, counts binary")
     kept = [(r.lang, np.frombuffer(r.bins, "<u4"), np.frombuffer(r.counts, "<u4")) for r in sample.collect() if r.bins]
     kept.sort(key=lambda x: (x[0], x[1].tobytes(), x[2].tobytes()))
     if not kept:
@@ -149,4 +151,4 @@ def predict(docs: DataFrame, model: CentroidModel, id_col: Column | str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", "lang_pred", "score", "rejected"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
+    return source.mapInArrow(lean(run), f"id {kind}, lang_pred string, score double, rejected boolean")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut
+from quillmesh.llm.common import cut, lean
 from quillmesh.llm.components import connected_components
 from quillmesh.llm.shingles import shingle_hashes
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the long ``key_col``: (doc_id, fp, key)."""
     keys = [F.col(key_col).cast("long").alias("key")] if key_col else []
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keys)
-    return source.mapInArrow(_fingerprints(k), "doc_id bigint, fp bigint" + ", key bigint" * len(keys))
+    return source.mapInArrow(lean(_fingerprints(k)), "doc_id bigint, fp bigint" + ", key bigint" * len(keys))
 
 
 def pivot_tables(seed: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -184,9 +184,9 @@ def _neighbour_links(fps: DataFrame) -> DataFrame:
 
 def fingerprint_links(distinct: DataFrame, max_bucket: int = 4096) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints within distance 2."""
-    bucketed = distinct.select("fp").mapInArrow(_bucket_keys, "key bigint, fp bigint")
+    bucketed = distinct.select("fp").mapInArrow(lean(_bucket_keys), "key bigint, fp bigint")
     sorted_rows = bucketed.repartition("key").sortWithinPartitions("key", "fp")
-    found = cut(sorted_rows.mapInArrow(_link_sorted(max_bucket), "a bigint, b bigint"))
+    found = cut(sorted_rows.mapInArrow(lean(_link_sorted(max_bucket)), "a bigint, b bigint"))
     rest = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     return found.where("b IS NOT NULL").union(_neighbour_links(rest))
 
