@@ -56,7 +56,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document left, and whether decoding them gives the text.
     Blocks are smaller than by default: they give texts and ids, not their digests."""
     path, pattern = queries.tokenizer_file()
-    coded = bpe.encode_documents(docs, path, pattern, keep=["text", "lang", "source"], block_bytes=8 << 20)
+    coded = bpe.encode_documents(docs, path, pattern, keep=["text", "lang", "source"], block_bytes=3 << 20)
     text = F.coalesce(F.encode("text", "utf-8"), F.lit(b""))
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == text).alias("round_trip"))
 
