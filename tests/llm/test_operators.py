@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillmesh.llm import bpe, decontaminate, html_extract, langid, line_dedup, quality, simhash, suffix_dedup, toxicity, url_filter
+from quillmesh.llm import bpe, common, decontaminate, html_extract, langid, line_dedup, quality, simhash, suffix_dedup, toxicity, url_filter
 from quillmesh.llm.components import connected_components
 from quillmesh.llm.shingles import plain_words, shingle_hashes
 from tests.llm import brute
@@ -736,3 +736,20 @@ def test_loser_tree():
 
 def test_shingles_of_few_words():
     assert len(shingle_hashes([], 3)) == 0 and len(shingle_hashes([b"a", b"b"], 3)) == 1 and len(shingle_hashes([b"a"] * 5, 3)) == 3
+
+
+def test_workers_free_memory(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "free_memory", lambda: freed.append(1))
+
+    def doubled(batches):
+        for batch in batches:
+            yield batch * 2
+
+    assert list(common.lean(doubled)(iter([1, 2]))) == [2, 4] and freed == [1]
+    assert list(common.lean(doubled)(iter([]))) == [] and freed == [1, 1]
+    with pytest.raises(TypeError):
+        list(common.lean(doubled)(iter([None])))
+    assert freed == [1, 1, 1]
+    monkeypatch.undo()
+    common.free_memory()
