@@ -10,6 +10,7 @@ from quillmesh.catalog import Catalog
 from quillmesh.errors import CypherError, EmbeddingsMissing, IndexMissing, NoteNotFound, VaultNotFound
 from quillmesh.functions.embedders import HashEmbedder
 from quillmesh.operators import hybrid, notes, vector
+from quillmesh.plans.cypher import PropertyGraph
 from quillmesh.plans.embed_run import run_embed
 from quillmesh.plans.index_run import run_index, save_postings
 from tests.conftest import write_notes
@@ -111,6 +112,48 @@ def test_cypher_values_and_errors(indexed):
             q(bad)
 
 
+def rows_made(df):
+    """The result's rows and the most rows that any step of its plan gave."""
+    run, most = df._jdf.queryExecution(), 0
+    rows, plans = run.toRdd().count(), [run.executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        else:
+            made = plan.metrics().get("numOutputRows")
+            most = max(most, made.get().value() if made.isDefined() else 0)
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return rows, most
+
+
+HUB = [
+    ("MATCH (p:person)-[:lives_in]->(t), (c:club)-[:lives_in]->(t) WHERE c.id = 'club/1' RETURN p.id", 300),
+    ("MATCH (p:person)-[:lives_in]->(t), (c:club {title: 'C7'})-[:lives_in]->(t) RETURN p.id", 300),
+    ("MATCH (p:person)-[:lives_in]->(t)<-[:lives_in]-(c) WHERE c = $c AND p.title <> 'P3' RETURN p.id", 299),
+    ("MATCH (p:person)-[:lives_in]->(t)<-[:lives_in]-(x:town) RETURN p.id", 0),
+    ("MATCH (p:person)-[:lives_in]->(t {id: 'town/0'}), (c:club {id: 'club/2'})-[:lives_in]->(t) WHERE p.id = 'person/5' RETURN p.id, c.id", 1),
+    ("MATCH (p:person)-[:lives_in]->(t), (c:club)-[:lives_in]->(t) WHERE c.id = 'club/1' AND c.id = 'club/2' RETURN p.id", 0),
+    ("MATCH (p:person)-[*1..2]->(t)<-[:lives_in]-(c:club {id: 'club/1'}) RETURN p.id", 300),
+]
+
+
+@pytest.mark.parametrize(("text", "rows"), HUB)
+def test_a_hub_is_not_squared(spark, text, rows):
+    def of(kind, n):
+        key = f"concat('{kind}/', id)"
+        return spark.range(n).selectExpr(f"{key} AS id", f"concat({key}, '.md') AS path", f"'{kind}' AS type", f"concat('{kind[0].upper()}', id) AS title")
+
+    folk = of("person", 300).union(of("club", 300))
+    edges = folk.selectExpr("id AS from_id", "'lives_in' AS edge_type", "'town/0' AS to_id", "'' AS to_raw", "true AS resolved", "0 AS position")
+    found = PropertyGraph(folk.union(of("town", 1)), edges).query(text, {"c": "club/1"})
+    got, most = rows_made(found)
+    assert got == rows and most <= 1000
+
+
 def test_incremental_runs(vault, vault_dir):
     run_index(vault)
     again = run_index(vault)
