@@ -11,7 +11,7 @@ from quillmesh.catalog import Vault
 from quillmesh.functions.chunker import MAX_BYTES, OVERLAP_BYTES
 from quillmesh.functions.embedders import Embedder, select_embedder
 from quillmesh.operators import notes as ops
-from quillmesh.operators.chunks import chunk_notes, embed_chunks
+from quillmesh.operators.chunks import embed_notes
 from quillmesh.schemas import EMBEDDINGS
 from quillmesh.sources.snapshots import read_json, write_json
 
@@ -54,7 +54,7 @@ def run_embed(vault: Vault, embedder: Embedder | None = None, full: bool = False
         if embedded or removed or (full and have):
             owners = status.where("status <> 'same'").select(F.col("id").alias("note_id"))
             stamp = int(time.time() * 1000)
-            fresh = embed_chunks(chunk_notes(notes.join(todo, "id", "left_semi")), embedder, stamp)
+            fresh = embed_notes(notes.join(todo, "id", "left_semi"), embedder, stamp)
             parts = None if full else store.touched(owners)
             table = fresh if full else ops.replace_owned(store.read("embeddings", EMBEDDINGS, parts), owners, fresh, "note_id")
             store.commit({"embeddings": table.select(*EMBEDDINGS.names)}, parts)

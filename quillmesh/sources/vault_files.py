@@ -5,12 +5,13 @@ from __future__ import annotations
 import fnmatch
 import logging
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillmesh.functions.memory import groups
 from quillmesh.functions.notes_parser import parse_note
 from quillmesh.schemas import FILES, RAW_EDGE
 
@@ -95,14 +96,19 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(walk_vault(root), FILES)
 
 
+def _frames(notes: Iterable[dict]) -> Iterator[pd.DataFrame]:
+    """Parsed notes in frames of bounded size: a batch's bodies are not all held at once."""
+    for group in groups(notes, 1000, lambda n: len(n["body"])):
+        yield pd.DataFrame(group, columns=PARSED.names)
+
+
 def read_and_parse(files: DataFrame, root: str) -> DataFrame:
     """Read and parse the files (rel, mtime_ms, size_bytes) on the executors, which
     must see ``root``. Files that are unreadable or not UTF-8 are warned about and
     left out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for batch in batches:
-            rows = []
             for rel, mtime, size in zip(batch.rel, batch.mtime_ms, batch.size_bytes):
                 try:
                     with open(os.path.join(root, rel), encoding="utf-8", newline="") as f:
@@ -112,26 +118,23 @@ def read_and_parse(files: DataFrame, root: str) -> DataFrame:
                     continue
                 if note.pop("warning"):
                     logging.getLogger(__name__).warning("%s: malformed frontmatter", rel)
-                rows.append(note | {"mtime_ms": mtime, "size_bytes": size})
-            yield pd.DataFrame(rows, columns=PARSED.names)
+                yield note | {"mtime_ms": mtime, "size_bytes": size}
 
-    return files.mapInPandas(run, PARSED)
+    return files.mapInPandas(lambda batches: _frames(parsed(batches)), PARSED)
 
 
 def parse_contents(contents: DataFrame, rel_col: str = "rel", content_col: str = "content") -> DataFrame:
     """Parse notes that are already in a table (rel, content[, mtime_ms, size_bytes])."""
     have = set(contents.columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for batch in batches:
-            rows = []
             for row in batch.to_dict("records"):
                 content = row[content_col] or ""
                 note = parse_note(row[rel_col], content)
                 note.pop("warning")
                 stamps = {"mtime_ms": row.get("mtime_ms", 0), "size_bytes": row.get("size_bytes", len(content.encode()))}
-                rows.append(note | stamps)
-            yield pd.DataFrame(rows, columns=PARSED.names)
+                yield note | stamps
 
     wanted = [rel_col, content_col, *(c for c in ("mtime_ms", "size_bytes") if c in have)]
-    return contents.select(*wanted).mapInPandas(run, PARSED)
+    return contents.select(*wanted).mapInPandas(lambda batches: _frames(parsed(batches)), PARSED)

@@ -1,18 +1,23 @@
 import json
 import os
 import pathlib
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmesh import cli
 from quillmesh.catalog import Catalog
 from quillmesh.errors import CypherError, EmbeddingsMissing, IndexMissing, NoteNotFound, VaultNotFound
+from quillmesh.functions.chunker import chunk_markdown
 from quillmesh.functions.embedders import HashEmbedder
-from quillmesh.operators import hybrid, notes, vector
+from quillmesh.operators import chunks, hybrid, notes, vector
 from quillmesh.plans.cypher import PropertyGraph
 from quillmesh.plans.embed_run import run_embed
 from quillmesh.plans.index_run import run_index, save_postings
+from quillmesh.sources import vault_files
 from tests.conftest import write_notes
 
 SOUP = "recipes/leek soup"
@@ -220,6 +225,77 @@ def test_embedding_runs(vault, vault_dir):
     assert run_embed(vault, model).embedded == 10
 
 
+class OneBatch:
+    """In place of a DataFrame: runs the function on one Arrow batch, here."""
+
+    def __init__(self, batch):
+        self.batch, self.columns = batch, batch.schema.names
+
+    def select(self, *names):
+        return OneBatch(self.batch.select(list(names)))
+
+    def mapInArrow(self, run, schema):
+        return run(iter([self.batch]))
+
+    def mapInPandas(self, run, schema):
+        return run(iter([self.batch.to_pandas()]))
+
+
+class ZeroEmbedder:
+    model_id, dim = "zero", 768
+
+    def embed_documents(self, pairs):
+        return np.zeros((len(pairs), 768), np.float32)
+
+
+STEPS = {
+    "cut": lambda t: chunks.chunk_notes(t),
+    "embed": lambda t: chunks.embed_chunks(t, ZeroEmbedder(), 0),
+    "cut and embed": lambda t: chunks.embed_notes(t, ZeroEmbedder(), 0),
+    "parse": lambda t: vault_files.parse_contents(t),
+}
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_what_python_holds_does_not_grow_with_a_batch(step):
+    def peak(n):
+        ids, text = [f"n{i}" for i in range(n)], [f"{i} " + "word " * 800 for i in range(n)]
+        named = dict.fromkeys(("id", "note_id", "rel", "title", "content_hash"), ids) | {"body": text, "chunk_text": text, "seq": [0] * n}
+        table = OneBatch(pa.RecordBatch.from_pydict(named | {"content": ["---\ntype: t\n---\n" + t for t in text]}))
+        del text, named
+        tracemalloc.start()
+        try:
+            rows = sum(num_rows(b) for b in STEPS[step](table))
+            return rows, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    def num_rows(b):
+        return b.num_rows if isinstance(b, pa.RecordBatch) else len(b)
+
+    peak(50)
+    (few, low), (many, high) = peak(1000), peak(5000)
+    assert many == 5 * few >= 5000
+    # parsing takes frames: their 4000 more texts of 4 KB count once, what is made of them doesn't
+    assert high < (low + 4000 * 6000 if step == "parse" else 1.5 * low)
+
+
+def test_notes_are_embedded_alike_in_one_pass_and_in_two(spark):
+    rows = [("a", "A", "one two\n\n" * 900, "h1"), ("b", "Title only", " \n", "h2"), ("c", "C", None, "h3"), ("d", "D", "\u00e9\U0001f331 " * 3000, None)]
+    table = spark.createDataFrame(rows, "id string, title string, body string, content_hash string")
+    one, two = chunks.embed_notes(table, HashEmbedder(), 7), chunks.embed_chunks(chunks.chunk_notes(table), HashEmbedder(), 7)
+    key = lambda r: (r.note_id, r.seq)
+    got = sorted(one.collect(), key=key)
+    assert one.schema == two.schema and got == sorted(two.collect(), key=key)
+    assert [(r.note_id, r.seq, r.chunk_text) for r in got if r.note_id in "bc"] == [("b", 0, "Title only"), ("c", 0, "C")]
+    assert all(len(r.vector) == 768 and r.embedded_at_ms == 7 for r in got)
+    for note_id, title, body, h in rows:
+        mine = [r for r in got if r.note_id == note_id]
+        assert [r.chunk_text for r in mine] == (chunk_markdown(body) or [title])
+        assert [r.seq for r in mine] == list(range(len(mine))) and {r.content_hash for r in mine} == {h}
+        assert np.array_equal([r.vector for r in mine], HashEmbedder().embed_documents([("", r.chunk_text) for r in mine]).astype(float))
+
+
 def test_similar_and_hybrid(vault):
     model = HashEmbedder()
     run_index(vault)
