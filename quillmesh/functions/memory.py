@@ -1,4 +1,5 @@
-"""What Python workers hold: groups of bounded size, and memory given back."""
+"""What Python workers hold: groups of bounded size, and memory given back. (The
+training-data operators, an optional part, have their own ``lean``.)"""
 
 from __future__ import annotations
 
